@@ -66,3 +66,18 @@ class Numbers(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
+
+
+def labelled_ids(labels: DataFrame, value: str, rows: int, where=None) -> DataFrame:
+    """At most ``rows`` labelled ids (``doc_id, value``): those of the lowest hash.
+
+    The bound makes it safe to broadcast. Rows without an id or a label are left out; of
+    several labels for one id the lowest counts.
+    """
+    from pyspark.sql import functions as F
+
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull())
+    if where is not None:
+        known = known.where(where)
+    one = known.groupBy("doc_id").agg(F.min(value).alias("value"))
+    return one.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)
