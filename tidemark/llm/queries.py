@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, line_crf, mixing, pii, quality_rules
+from tidemark.llm import chat, decontam, langid, line_crf, mixing, pii, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -54,6 +58,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op5_pii": op5_pii,
     "op7_language": op7_language,
@@ -63,6 +68,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+i AS (SELECT id, ws, least(10, len(ws)) AS n FROM w WHERE kind = 'i' AND len(ws) > 0),
+iw AS (SELECT DISTINCT n, id, array_to_string(ws[p:p + n - 1], ' ') AS g
+  FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM i)),
+dw AS (SELECT id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS g
+  FROM (SELECT w.id, w.ws, l.n, unnest(range(1, len(w.ws) - l.n + 2)) AS p
+    FROM w, (SELECT DISTINCT n FROM i) l WHERE w.kind = 'd')),
+h AS (SELECT dw.id, dw.p, dw.n, iw.id AS item FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+hw AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(p, p + n)) AS k FROM h) GROUP BY id),
+hi AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM h) GROUP BY id)
+SELECT w.id AS doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hw USING (id) LEFT JOIN hi USING (id) WHERE w.kind = 'd'
+""",
     "op9_chat_format": r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
