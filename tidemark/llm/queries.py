@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, line_crf, minhash, mixing, pii, quality_rules
+from tidemark.llm import chat, decontam, html_text, langid, line_crf, minhash, mixing, pii, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs, where=_remainder(4) != 2)
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_pii": op5_pii,
+    "op6_main_text": op6_main_text,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
