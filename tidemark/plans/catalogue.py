@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import companies, markets, texts, trends
+
+PARTS = (trends, texts, markets, companies)
+QUERIES = {name: query for part in PARTS for name, query in part.R.queries.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.R.sql.items()}
