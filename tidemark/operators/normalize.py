@@ -139,5 +139,5 @@ def window_label(day: Column, days: int) -> Column:
 
 def split_list(column: Column) -> Column:
     """Comma-separated values, trimmed; empty ones go, and nothing left is null."""
-    found = F.filter(F.transform(F.split(column, ","), F.trim), lambda x: x != "")
+    found = F.filter(F.transform(F.split(column, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(found) > 0, found)

@@ -248,3 +248,24 @@ def interest_against_price(spark, sf):
     d = mentions(spark, sf).groupBy("source", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("price"))
     d = d.withColumn("x", F.date_diff("day", F.lit("2024-01-01").cast("date")).cast("double"))
     return d.groupBy("source").agg(F.round(F.regr_slope("n", "x"), 6).alias("interest_slope"), F.round(F.regr_slope("price", "x"), 6).alias("price_slope"))
+
+
+@R.add("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_hourly_counts(spark, sf):
+    """The batch form of the streaming query; tests hold both against each other."""
+    from tidemark.streaming.features import windowed_counts
+
+    counts = windowed_counts(table(spark, sf, "events"))
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@R.add(
+    """WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def user_sessions(spark, sf):
+    from tidemark.streaming.features import sessions
+
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return sessions(table(spark, sf, "events")).select("user_id", shown("start"), shown("end"), "n")
