@@ -48,8 +48,8 @@ def check_template(template: dict) -> None:
         for i in range(1, len(m)):
             if any(m[i:].startswith(o) or o.startswith(m[i:]) for o in all_marks):
                 raise ValueError(f"mark {m!r} overlaps another mark")
-    if len(set(all_marks)) < len(all_marks):
-        raise ValueError("marks must differ")
+    if any(m.startswith(o) for k, m in enumerate(all_marks) for j, o in enumerate(all_marks) if j != k):
+        raise ValueError("no mark may begin with another")
 
 
 def _escapes(template: dict) -> list[tuple[str, str]]:

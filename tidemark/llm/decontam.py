@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batches, small_batches, texts_of, written
+from tidemark.llm.common import batches, small_batches, texts_of, unused, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z, what is between words to a blank, anything else to itself.
@@ -229,7 +229,7 @@ def cut_text(text: str, starts: list[int], ends: list[int]) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
     """The same columns; hit stretches are cut out of the texts and a document goes if more
     than ``max_coverage`` of its words are hit."""
-    found = find_hits(docs, items, window)
+    found = find_hits(docs, items, window, out=unused(docs, "hits_"))
     at, columns = docs.columns.index("text"), docs.columns
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
