@@ -7,11 +7,15 @@ and a bin keeps the smallest value of the first round that reached it; after
 place fills. Similarity 0.85 agrees on one of 25 bands of 5 places with a probability of
 1 - 4e-7.
 
-Documents with equal sets form one class, and only classes are compared. Within a bucket
-a few members of each component are compared with everything outside their component,
-then components are merged; members that have been compared with all leave. This repeats
-with more members at a time until a bucket holds a single component: every pair in a
-bucket is compared or already connected, but copies never meet in all pairs.
+Documents with equal sets form one class, and only classes are compared. A small bucket is
+compared in all pairs. A larger one is compared with one of its members only, its pivot p.
+For the others let C be what they share with p and B the rest. Two of them that are similar
+share at least theta (n1 + n2) - min(|C1|, |C2|) elements of B, theta = 0.85 / 1.85. So a
+member that is not similar to p meets, in the next round, only members with which it has an
+element of B in common, among the first ones in hash order that this bound leaves (prefix
+filtering), or those so small that the bound is not positive. Members that are similar to p
+are connected already. What is small rises eightfold with each round, by which time buckets
+have fallen apart. No link is lost, and copies never meet in all pairs.
 
 Edge cases: a document of one to four words has one shingle, the whole sequence; null or
 empty texts have none and are linked with nothing; a null doc_id is linked with nothing
@@ -21,17 +25,18 @@ table gives an empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Numbers, batches, mix64, small_batches, texts_of, written
+from tidemark.llm.common import Numbers, batches, mix64, shared_folder, small_batches, texts_of, unused, written
 
 WIDTH, COORDINATES, ROWS = 5, 125, 5
 CACHE = 1 << 20
@@ -133,6 +138,34 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print_hi long, print_lo long, bands array<long>")
 
 
+#: Cells of the bitmap of ids to be compared: 256 rows of 4 KB at most, whatever the corpus.
+CELLS = 1 << 23
+
+
+def only_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with an id in ``ids``.
+
+    A bitmap of hashed ids, bounded and hence broadcast, keeps most other texts out of the
+    shuffle of the exact join; when ids outgrow it, it only filters less.
+    """
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)) + 1
+    row, bit = F.bitmap_bucket_number(cell), F.bitmap_bit_position(cell)
+    bitmap = ids.groupBy(row.alias("row_")).agg(F.bitmap_construct_agg(bit).alias("bits_"))
+    byte = F.conv(F.hex(F.substring("bits_", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumns({"row_": row, "bit_": bit}).join(F.broadcast(bitmap), "row_")
+    near = near.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("bit_") % 8).cast("int")) != 0)
+    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
+def bucketed(sets: DataFrame) -> DataFrame:
+    """The sets as a table bucketed by id, so that no later join shuffles them."""
+    spark = sets.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"sets_{uuid.uuid4().hex}"
+    dealt = sets.repartition(n, "doc_id").distinct()
+    dealt.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def with_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n, items``: the sets themselves, for documents that are to be compared."""
 
@@ -164,41 +197,62 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similar: Column) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; ``similar`` is over na, nb and both (the size of what they share)."""
+#: Members of a bucket that is compared in all pairs, in the first round; eight times as many in each later one.
+SMALL = 8
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, star, least) with their sizes, what they share and whether they are similar.
+
+    For star pairs (a is the pivot) ``need`` is the least number of elements outside the
+    pivot that b shares with a similar member of at least ``least`` elements, and ``rest``
+    the elements of b outside the pivot among which one of those must be.
+    """
+    theta = percent / (100 + percent)
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    left = written(left.join(pairs.select("a").distinct(), "a", "left_semi"), "left")  # so that a hot pivot can be split
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    return pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("ia", "ib"))).where(similar).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("ia", "ib")))
+    smallest = F.greatest("least", F.ceil(F.col("nb") * percent / 100))
+    both = both.withColumn("need", F.when(F.col("star"), F.ceil((F.col("nb") + smallest) * theta - F.col("both") - 1e-9)))
+    outside = F.array_sort(F.array_except("ib", "ia"))
+    both = both.withColumn("rest", F.when(F.col("star"), F.slice(outside, 1, F.greatest(F.lit(0), F.size(outside) - F.greatest("need", F.lit(1)).cast("int") + 1))))
+    similar = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+    return both.select("a", "b", "star", "nb", "both", "need", "rest", similar.alias("similar"))
 
 
-def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Labels (node, component) of the classes that are linked; ``buckets``: key, node, n."""
-    similar = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    open_ = buckets.withColumn("component", F.col("node"))
-    edges = labels = None
-    pivots = 1
-    while True:
-        heads = open_.groupBy("key", "component").agg(F.array_sort(F.collect_set("node")).alias("nodes")) if pivots > 1 else open_.groupBy("key").agg(F.array(F.min("node")).alias("nodes"))
-        if pivots > 1:
-            several = heads.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-            heads = heads.join(several, "key", "left_semi")
-        heads = heads.select("key", F.explode(F.slice("nodes", 1, pivots)).alias("node2"))
-        members = open_.select(F.col("key"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        heads = written(heads.join(members, ["key", "node2"]), "heads")
-        if heads.isEmpty():
-            return labels
-        pairs = open_.join(heads, "key").where((F.col("component") != F.col("component2")) & near)
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).where("a != b").distinct()
-        new = confirmed(pairs, sets, similar)
-        edges = written(new if edges is None else edges.union(new), "links")
-        labels = components(edges)
-        served = heads.select("key", F.col("node2").alias("node"))
-        rest = open_.drop("component").join(served, ["key", "node"], "left_anti")
-        open_ = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_ = written(open_.join(several, "key", "left_semi"), "open")
-        pivots *= 4
+def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Labels (node, component) of the classes that are linked; ``buckets``: key, node, n, score, open.
+
+    A bucket's pivot is the member of the highest score; buckets without an open member
+    have nothing left to find.
+    """
+    theta = percent / (100 + percent)
+    edges, pending = None, buckets
+    for round_ in count():
+        heads = pending.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("open").alias("any"), F.max_by("node", F.struct("score", -F.col("node"))).alias("pivot"))
+        marked = written(pending.join(heads.where("members > 1 AND any").drop("any"), "key"), "buckets")
+        if marked.isEmpty():
+            break
+        few = F.col("members") <= SMALL * 8**round_
+        near = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+        small = marked.where(few).groupBy("key").agg(F.collect_set(F.struct("node", "n")).alias("m"))
+        small = small.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x")["node"]) & near(F.col("x"), y))).alias("y"))
+        small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("star"), F.lit(0).cast("long").alias("least")).distinct()
+        star = marked.where(~few & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct()
+        family = star.groupBy("a").agg(F.min("n").alias("least"))
+        star = star.join(family, "a").select("a", "b", F.lit(True).alias("star"), "least")
+        found = written(compared(written(small.union(star), "pairs"), sets, percent), "compared")
+        new = found.where("similar").select("a", "b")
+        edges = new if edges is None else edges.union(new)
+
+        members = found.where("star").select("a", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("both").cast("long").alias("score"), "need", "rest", (~F.col("similar")).alias("open"))
+        by_element = members.withColumn("element", F.explode("rest")).select(F.xxhash64("a", "element").alias("key"), "node", "n", "score", "open")
+        free = members.where("need <= 0")
+        reach = free.where("open").groupBy("a").agg(F.max(F.col("score") / theta - F.col("n")).alias("reach"))
+        left = free.join(reach, "a").where(F.col("open") | (F.col("n") <= F.col("reach") + 1e-9))
+        pending = by_element.union(left.select(F.xxhash64("a", F.lit("rest"), F.lit(round_)).alias("key"), "node", "n", "score", "open")).distinct()
+    return None if edges is None else components(edges)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -209,10 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = ["print_hi", "print_lo"]
     classes = written(known.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    buckets = written(keyed.join(shared, "key", "left_semi"), "buckets")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = written(keyed.join(shared, "key"), "shared")
+    central = buckets.groupBy("node").agg(F.sum("members").alias("score"))
+    buckets = written(buckets.drop("members").join(central, "node").select("key", "node", "n", "score", F.lit(True).alias("open")), "scored")
     compared = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(with_sets(ids.join(compared, "doc_id", "left_semi")).distinct(), "sets")
+    sets = bucketed(with_sets(only_wanted(ids, compared)))
     labels = links(buckets, sets, percent)
 
     # a document of several classes (rows that share its doc_id) joins them
@@ -234,9 +290,5 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The same columns; of each group of near duplicates the document with the smallest id stays, once."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_"))
     left = docs.join(gone, docs.doc_id == gone.gone_, "left_anti")
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return (
-        left.withColumn("copy_", F.row_number().over(one))
-        .where((F.col("copy_") == 1) | F.col("doc_id").isNull())
-        .drop("copy_")
-    )
+    one, copy = W.partitionBy("doc_id").orderBy(F.xxhash64("text")), unused(docs, "copy_")
+    return left.withColumn(copy, F.row_number().over(one)).where((F.col(copy) == 1) | F.col("doc_id").isNull()).drop(copy)
