@@ -154,7 +154,7 @@ def only_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("bits_", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     near = docs.withColumns({"row_": row, "bit_": bit}).join(F.broadcast(bitmap), "row_")
     near = near.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("bit_") % 8).cast("int")) != 0)
-    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+    return near.select(*docs.columns).join(ids, "doc_id")  # ids are distinct; a semi-join would be pushed below the bitmap
 
 
 def bucketed(sets: DataFrame) -> DataFrame:
