@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 ENTITY = "struct<type:string,value:string,confidence:double>"
 PROVENANCE = "struct<connector:string,connector_version:string,collection_method:string,source_url:string,license:string,ingest_ts:timestamp>"
 EVIDENCE = "struct<source:string,s3_uri:string,ts:string,note:string>"
