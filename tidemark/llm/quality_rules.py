@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the corpus.
 
-Unigrams and bigrams of lower-cased words are hashed into ``buckets`` cells. One pass
-counts the cells over every document (the raw multinomial) and over the trusted ones;
-the second scores each document by the sum of log p(target) - log p(raw) over its
+Unigrams and bigrams of lower-cased words are hashed into ``buckets`` cells. They are
+counted over every document (the raw multinomial) and over every trusted one; a last
+pass scores each document by the sum of log p(target) - log p(raw) over its
 n-grams, divided by their number plus ``shrink``. Everything at or above ``threshold``
 is kept unless a base rule fails.
 
@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Numbers, batches, labelled_ids, mix64, small_batches, texts_of
+from tidemark.llm.common import Numbers, batches, mix64, small_batches, texts_of
+from tidemark.llm.minhash import only_wanted
 
 BUCKETS = 1 << 16
-#: Words kept in a worker's cache before it starts anew; also keeps a word number below 21 bits.
+#: Words kept in a worker's cache before it starts anew; also mostly keeps a word number below 21 bits.
 CACHE = 1 << 20
 WORD_SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MAX_TRUSTED = 20_000
+#: Weight of the raw distribution in the target, in n-grams for each n-gram of the target.
+PRIOR = 0.125
 
 
 class Vocabulary:
@@ -58,52 +60,70 @@ class Vocabulary:
         return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def count_cells(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``cell, raw, target``: n-gram counts over all documents and over the trusted ones.
-
-    ``trusted`` (doc_id, value = 1 where trusted) is bounded, hence broadcast. A task adds
-    up its own counts before the shuffle.
-    """
-    small_batches(docs.sparkSession)
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce(F.col("value") == 1, F.lit(False)).alias("good"))
+def cell_sums(docs: DataFrame, buckets: int) -> DataFrame:
+    """``cell, n``: the n-grams of all texts. A task adds up its own counts before the shuffle."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, raw, target = Vocabulary(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        words, counts = Vocabulary(), np.zeros(buckets, np.int64)
         for b in batches(rows):
-            for text, good in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
+            for text in texts_of(b.column(0)):
                 cells = words.cells(words.ids(text.encode().split()), buckets)
-                found = np.bincount(cells, minlength=buckets) if len(cells) > buckets // 8 else None
-                for counts in (raw, target)[: 1 + good]:
-                    if found is None:
-                        np.add.at(counts, cells, 1)
-                    else:
-                        counts += found
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["cell", "raw", "target"])
+                if len(cells) > buckets // 8:
+                    counts += np.bincount(cells, minlength=buckets)
+                else:
+                    np.add.at(counts, cells, 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["cell", "n"])
+
+    return docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
 
-    counts = flagged.mapInArrow(count, "cell long, raw long, target long")
-    return counts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids labelled quality 1; of several labels for one id the lowest counts."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("value")).where("value = 1").select("doc_id")
+
+
+def count_cells(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``cell, raw, target``: n-gram counts over all documents and over the trusted ones.
+
+    ``trusted`` (distinct doc_id) may grow with the corpus: it is joined by sorting at any
+    size, never broadcast, and only texts that its bitmap lets through are shuffled.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    raw, target = cell_sums(rows, buckets), cell_sums(only_wanted(rows, trusted.hint("merge")), buckets)
+    none = F.lit(0).cast("long")
+    both = raw.select("cell", F.col("n").alias("raw"), none.alias("target")).union(target.select("cell", none, "n"))
+    return both.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = 200_000.0) -> np.ndarray:
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
     """One log ratio for each cell. ``counts`` has at most ``buckets`` rows, whatever the corpus.
 
-    The target is smoothed towards the raw distribution with the weight of ``prior`` n-grams,
-    the raw one with one n-gram for each cell.
+    The target is smoothed towards the raw distribution with ``prior`` times its own number of
+    n-grams, so the ratios depend on shares only, not on the size of the tables. Cells that no
+    document has are 0.
     """
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for cell, r, t in counts.collect():
         raw[cell], target[cell] = r, t
-    p_raw = (raw + 1) / (raw.sum() + buckets)
-    p_target = (target + prior * p_raw) / (target.sum() + prior)
-    return np.log(p_target) - np.log(p_raw)
+    out, seen = np.zeros(buckets), raw > 0
+    if target.sum():
+        p_raw = raw[seen] / raw.sum()
+        out[seen] = np.log((target[seen] / target.sum() + prior * p_raw) / (1 + prior)) - np.log(p_raw)
+    return out
 
 
 def repeated_windows(ids: np.ndarray, width: int = 3) -> int:
     """Words inside windows of ``width`` words that occur twice or more."""
     if len(ids) < width + 1:
         return 0
-    key = (ids[:-2] << np.int64(42)) | (ids[1:-1] << np.int64(21)) | ids[2:]
+    if ids.max() >> 21:  # too many words for one key: number the pairs first
+        pairs = np.unique((ids[:-1] << np.int64(32)) | ids[1:], return_inverse=True)[1]
+        key = (pairs[:-1] << np.int64(32)) | ids[2:]
+    else:
+        key = (ids[:-2] << np.int64(42)) | (ids[1:-1] << np.int64(21)) | ids[2:]
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     hit = np.zeros(len(key), bool)
@@ -139,11 +159,10 @@ def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = -0.1, sh
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, SCORED)
 
 
-def rate(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit both multinomials, then score every document.
 
-    The trusted target is the documents labelled quality 1 among ``max_trusted`` labelled
-    ones; the raw side covers the whole corpus.
+    The trusted target is every document labelled quality 1; the raw side covers the whole
+    corpus.
     """
-    trusted = labelled_ids(labels, "quality", max_trusted)
-    return apply_rules(docs, log_ratios(count_cells(docs, trusted)))
+    return apply_rules(docs, log_ratios(count_cells(docs, trusted_ids(labels))))
