@@ -8,8 +8,14 @@ Texts are lower-cased and every run of non-letters is one blank. The symbols of
 are cut into segments of ``SEGMENT`` symbols that are parsed side by side, all languages
 at once: whole texts take part, and a cut adds at most one phrase for each language.
 
-An automaton sees at most ``CHARS`` symbols from at most ``SLOTS`` labelled documents of
-its language (bounds of the fit, not of the prediction).
+Every letter of the samples is a symbol of its own, whatever its script. The automata
+share one double array: a state is an offset, and its move by symbol c lies at cell
+state + c, marked with the state, so the table grows with the moves and not with the
+number of letters.
+
+An automaton learns about ``CHARS`` symbols from at most ``SLOTS`` labelled documents of
+its language, of each at most ``LONGEST`` characters from its first letter on (bounds of
+the fit, not of the prediction); no language is left out.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without
 labelled rows everything is ``und``; a single language scores 1; repeated rows are
@@ -19,7 +25,7 @@ inputs of a prediction.
 
 from __future__ import annotations
 
-from collections import Counter
+import random
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,15 +36,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches, small_batches, texts_of
 
-CHARS, SLOTS, LONGEST, LETTERS, SEGMENT = 16_000, 64, 8_000, 62, 256
-#: Symbol 0 is the blank, 1 a letter outside the alphabet, 255 no symbol at all.
-BLANK, STRANGE, NONE = 0, 1, 255
+CHARS, SLOTS, LONGEST, SEGMENT = 16_000, 64, 8_000, 256
+#: Symbol 0 is the blank, 1 a letter outside the alphabet.
+BLANK, STRANGE = 0, 1
 
 
 class Model(NamedTuple):
     languages: list[str]
     alphabet: str  # the letters of symbols 2, 3, ...
-    moves: np.ndarray  # (states, symbols): next state or -1, languages one after the other
+    owner: np.ndarray  # cell state + symbol: the state whose move it holds, or -1
+    target: np.ndarray  # the next state
     roots: np.ndarray
 
 
@@ -46,7 +53,7 @@ def normalise(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """The moves of the minimal automaton of all substrings; state 0 is the root."""
     moves, link, size, last = [{}], [-1], [0], 0
     for c in symbols:
@@ -72,21 +79,39 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.full((len(moves), width), -1, np.int32)
-    for s, out in enumerate(moves):
+    return moves
+
+
+def double_array(automata: list[list[dict[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, target, roots) of all automata. States with many moves are placed first, at random offsets."""
+    moves = [(a, s, out) for a, states in enumerate(automata) for s, out in enumerate(states)]
+    span = 3 * sum(1 + len(out) for _, _, out in moves) + 1
+    dice, offset, taken, cells = random.Random(7), {}, set(), set()
+    for a, s, out in sorted(moves, key=lambda x: -len(x[2])):
+        at = dice.randrange(span)
+        while at in taken or any(at + c in cells for c in out):
+            at = dice.randrange(span)
+        offset[a, s] = at
+        taken.add(at)
+        cells.update(at + c for c in out)
+    owner, target = np.full(span + width, -1, np.int32), np.zeros(span + width, np.int32)
+    for a, s, out in moves:
+        at = offset[a, s]
         for c, t in out.items():
-            table[s, c] = t
-    return table
+            owner[at + c], target[at + c] = at, offset[a, t]
+    return owner, target, np.array([offset[a, 0] for a in range(len(automata))], np.int64)
 
 
 def fit(docs: DataFrame, where: Column | None = None) -> Model:
     """Learn from rows with text and lang (and ``where``): a few rows for each language."""
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
+    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows if where is None else rows.where(where)
     key = F.xxhash64(F.lit(11), "doc_id", F.length("text"))
     # the slot's row of the lowest hash; the text rides along in the partial aggregates
-    chosen = rows.groupBy("lang", F.pmod(key, F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct(key.alias("h"), F.col("text"))).alias("row"))
+    piece = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, LONGEST)
+    rows = rows.select("lang", key.alias("h"), piece.alias("piece")).where("piece != ''")
+    chosen = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("h", "piece")).alias("row"))
     texts: dict[str, list[str]] = {}
     for lang, _, (_, text) in sorted(chosen.collect()):
         texts.setdefault(lang, []).append(text)
@@ -98,22 +123,15 @@ def fit(docs: DataFrame, where: Column | None = None) -> Model:
                 sample += " " + " ".join(normalise(t).split())
         if sample.strip():
             samples[lang] = sample
-    counts = Counter(c for s in samples.values() for c in s if c != " ")
-    alphabet = "".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
+    alphabet = "".join(sorted({c for s in samples.values() for c in s if c != " "}))
     symbol = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": BLANK}
-    tables, roots, base = [], [], 0
-    for lang in sorted(samples):
-        table = suffix_automaton([symbol.get(c, STRANGE) for c in samples[lang]], len(alphabet) + 2)
-        table[:, STRANGE] = -1
-        tables.append(np.where(table >= 0, table + base, -1).astype(np.int32))
-        roots.append(base)
-        base += len(table)
-    return Model(sorted(samples), alphabet, np.concatenate(tables) if tables else np.zeros((0, 2), np.int32), np.array(roots, np.int64))
+    automata = [suffix_automaton([symbol[c] for c in samples[lang]]) for lang in sorted(samples)]
+    return Model(sorted(samples), alphabet, *double_array(automata, len(alphabet) + 2))
 
 
 def symbol_table(alphabet: str) -> np.ndarray:
     """The symbol of every code point."""
-    out = np.fromiter((STRANGE if chr(c).isalpha() else BLANK for c in range(0x110000)), np.uint8, 0x110000)
+    out = np.fromiter((STRANGE if chr(c).isalpha() else BLANK for c in range(0x110000)), np.int32, 0x110000)
     for i, c in enumerate(alphabet):
         out[ord(c)] = i + 2
     return out
@@ -129,8 +147,9 @@ def count_phrases(symbols: np.ndarray, bounds: np.ndarray, model: Model, segment
     size = np.minimum(segment, bounds[1:][owner] - start)
     order = np.argsort(-size, kind="stable")
     start, size, owner = start[order], size[order], owner[order]
-    langs, width = len(model.languages), model.moves.shape[1]
-    flat, root = model.moves.ravel(), model.roots[:, None]
+    langs, owners, targets, root = len(model.languages), model.owner, model.target, model.roots[:, None]
+    first = root + np.arange(len(model.alphabet) + 2)
+    first = np.where(owners[first] == root, targets[first], root)  # the moves of the roots; none leads back to a root
     state = np.repeat(root, len(start), axis=1)
     phrases = np.zeros((langs, len(start)), np.int32)
     live = np.searchsorted(-size, -np.arange(segment), side="left")
@@ -138,11 +157,10 @@ def count_phrases(symbols: np.ndarray, bounds: np.ndarray, model: Model, segment
         k = live[t]
         c = symbols[start[:k] + t].astype(np.int64)
         s = state[:, :k]
-        move = flat[s * width + c]
-        stuck = move < 0
+        cell = s + c
+        stuck = owners[cell] != s
         phrases[:, :k] += stuck | (s == root)
-        again = flat[root * width + c]
-        state[:, :k] = np.where(stuck, np.where(again < 0, root, again), move)
+        state[:, :k] = np.where(stuck, first[:, c], targets[cell])
     return np.stack([np.bincount(owner, p, len(length)) for p in phrases])
 
 
