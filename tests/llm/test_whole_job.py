@@ -6,7 +6,7 @@ import numpy as np
 import tables
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, quality_rules
+from tidemark.llm import langid, pii, quality_rules
 
 
 def test_all_good_documents_are_the_target(spark):
@@ -64,3 +64,15 @@ def test_phrases_are_those_of_plain_search():
                     end += 1
                 n, at = n + 1, max(end - 1, at + 1)
             assert got[k][0] == n
+
+
+def test_ibans_before_words_in_capitals():
+    assert pii.redact_text("pay DE89370400440532013000 BIC COBADEFF now") == "pay <IBAN> BIC COBADEFF now"
+    assert pii.redact_text("DE89 3704 0044 0532 0130 00 OR GB82 WEST 1234 5698 7654 32.") == "<IBAN> OR <IBAN>."
+    assert pii.redact_text("XX12 ABCD EF DE89370400440532013000 A") == "XX12 ABCD EF <IBAN> A"
+    assert pii.redact_text("DE89370400440532013000x DE8937040044053201300 0A") == "DE89370400440532013000x DE8937040044053201300 0A"
+
+
+def test_ip_parts_of_many_zeros():
+    t = "0" * 5000 + "1.2.3.4"
+    assert pii.listed(pii.find(t)) == f"ip:0:{len(t)}"

@@ -34,7 +34,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: The score of a kind before context, and the words that raise it.
@@ -74,6 +75,27 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+#: Characters of an IBAN by country; elsewhere every length is tried.
+IBAN_SIZE = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT"}.items() for c in cs.split()}
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each head the longest part that ends before a blank or a sign and passes mod 97."""
+    head = IBAN.search(text)
+    while head:
+        start, at = head.start(), head.end()
+        rest = IBAN_REST.match(text, at)
+        end = rest.end() if rest else at
+        while end > at:
+            size = end - start - text.count(" ", start, end)
+            ends = text[end - 1] != " " and not re.match(r"[A-Za-z0-9]", text[end : end + 1])
+            if ends and 15 <= size <= 34 and size == IBAN_SIZE.get(text[start : start + 2], size) and mod97(text[start:end].replace(" ", "")):
+                yield start, end
+                break
+            end -= 1
+        head = IBAN.search(text, max(at, end))
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at, done = text.find("@"), 0
     while at >= 0:
@@ -97,7 +119,7 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     if not DIGIT.search(text):
         return
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             yield "ip", *m.span()
     for m in CARD.finditer(text):
         if m.end() - m.start() <= 37 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -106,9 +128,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-            yield "iban", *m.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         yield "ssn", *m.span()
 
