@@ -62,27 +62,41 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(t, len(t) + 1).tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
 
 
-def repeated(texts, length):
+def covered(texts, length):
+    """Which bytes lie in strings of this length that also start anywhere else."""
     seen = collections.Counter(d[s : s + length] for d in texts for s in range(len(d) - length + 1))
     out = []
     for d in texts:
-        gone = bytearray(len(d))
+        hit = bytearray(len(d))
         for s in range(len(d) - length + 1):
             if seen[d[s : s + length]] > 1:
-                gone[s : s + length] = b"\1" * length
-        out.append(bytes(c for c, g in zip(d, gone, strict=True) if not g))
+                hit[s : s + length] = b"\1" * length
+        out.append(hit)
     return out
 
 
-@pytest.mark.parametrize("crowd", [8_000, 2])
-def test_repeated_passages(spark, sf, monkeypatch, crowd):
-    """Also with so low a bound on contexts that the plain shuffle takes over."""
-    monkeypatch.setattr(suffix_dedup, "LOT_CONTEXTS", crowd)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(tables.docs(spark))
+def common_passages(seed=4):
+    """Texts around one passage that all share, a shorter one, long runs of one letter, and a text that repeats itself."""
+    r = random.Random(seed)
+    said = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage, own = said(150), said(300), said(700)
+    texts = [said(r.randrange(300)) + r.choice([line, passage, passage[:256], passage[5:]]) + said(r.randrange(300)) for _ in range(60)]
+    return [*texts, "x" * 3000, "x" * 2999 + "y", "x" * 401, own + "-" + own, passage, passage[:255]]
+
+
+@pytest.mark.parametrize("crowded,gram", [(4_000_000, 192), (3_000, 192), (0, 250), (0, 128)])
+def test_repeated_passages(spark, sf, monkeypatch, crowded, gram):
+    """Also with so low a bound that second names and the plain count take over."""
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(suffix_dedup, "LONG_GRAM", gram)
+    monkeypatch.setattr(suffix_dedup, "LOT_BYTES", 50_000)
+    made = spark.createDataFrame([(1000 + i, t, "en", "a", 1) for i, t in enumerate(common_passages())], tables.DOC)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(tables.docs(spark)).unionByName(made)
     got = suffix_dedup.remove_repeats(docs).collect()
     data = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
-    want = sorted((str(i), hashlib.sha256(k).hexdigest()) for (i, _), k in zip(data, repeated([d for _, d in data], 400), strict=True))
-    assert sorted((str(r.doc_id), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == want
+    gone, shared = (covered([d for _, d in data], n) for n in (400, 256))
+    want = sorted((str(i), hashlib.sha256(bytes(c for c, g in zip(d, gs, strict=True) if not g)).hexdigest(), sum(ss)) for (i, d), gs, ss in zip(data, gone, shared, strict=True))
+    assert sorted((str(r.doc_id), hashlib.sha256(bytes(r.kept)).hexdigest(), sum(x.end - x.start for x in r.shared)) for r in got) == want
 
 
 def families(seed=5, sizes=(40, 90)):

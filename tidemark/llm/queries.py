@@ -24,6 +24,7 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_shared"),
     )
 
 
