@@ -12,10 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import dropped, shared_folder
+
 #: Rows in one Arrow batch that a Python task receives. Texts may be long, so it is far below Spark's default.
 ROWS_PER_BATCH = 512
-#: Applications whose executors have the package.
+#: Applications whose executors have the package; folders and catalogue tables that an application has written.
 _SENT: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -29,27 +33,33 @@ def small_batches(spark: SparkSession) -> None:
         _SENT.add(context.applicationId)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (tests, local mode) gets a temporary one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
     and a lost executor costs only a new read."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete an intermediate table whose successor is written. Not for results: they are read lazily."""
+    spark, own = df.sparkSession, _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
+    names = {f.split("/")[-2] for f in df.inputFiles()}
+    for path in [p for p in own if p.rsplit("/", 1)[-1] in names]:
+        dropped(spark, path)
+        own.remove(path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, once its results are written elsewhere."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        dropped(spark, path)
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -9,19 +9,20 @@ The items travel to the tasks in blocks of about ``block_bytes``, one automaton
 so a large benchmark costs passes, not memory; hits of all blocks are united.
 
 Edge cases: null or empty texts have no words and no hits; an item without words matches
-nothing; a null item_id reads ``null``; repeated rows are treated alike; an empty
+nothing; a null item_id reads ``null``; repeated rows are treated alike; very long texts
+stream through whole; an empty
 benchmark hits nothing; an empty document table gives an empty result. Other columns of
 the documents pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,6 +159,19 @@ HITS = T.StructType(
 )
 
 
+#: The automaton of the block that this worker process streamed last.
+_BUILT: dict[tuple, Automaton] = {}
+
+
+def built(block: list[tuple[str, str]], window: int) -> Automaton:
+    """A block's automaton, built once in each worker process that tasks share."""
+    key = (window, len(block), xxhash.xxh3_128_hexdigest("\0".join(f"{i}\0{t}" for i, t in block).encode()))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(block, window)
+    return _BUILT[key]
+
+
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
     known = items.where(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
@@ -180,7 +194,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = None
             for b in batches(rows):
-                automaton = automaton or Automaton(shared.value, window)
+                automaton = automaton or built(shared.value, window)
                 before = [None] * b.num_rows if first else b.column(b.num_columns - 1).to_pylist()
                 found = []
                 for text, old in zip(texts_of(b.column(at)), before, strict=True):
@@ -241,7 +255,3 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
             yield pa.RecordBatch.from_arrays(kept, columns).filter(pa.array(share <= max_coverage))
 
     return found.mapInArrow(run, docs.schema)
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

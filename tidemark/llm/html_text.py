@@ -4,7 +4,8 @@ A page is cut into leaf blocks at block-level tags. A block is described by its
 (tag names and character trigrams of class and id words, hashed), by its words (hashed)
 and by a few numbers. A bidirectional LSTM in numpy reads the blocks in order and labels
 each as main text or not, so every decision sees the whole page. The labeller is trained
-once per session on generated pages (see ``training_pages``), with a fixed seed.
+once per session on generated pages (see ``training_pages``), with a fixed seed: their
+main text lies in containers with and without telling names, under 0 to some 40 wrappers.
 
 Edge cases: a null or empty page, or one without main text, gives the empty text;
 unclosed tags, comments and scripts end with the page; white space is one space,
@@ -36,7 +37,9 @@ BLOCKS = frozenset(
     "head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea template svg math".split())
+RAW = frozenset("script style textarea template".split())
+#: Elements that say nothing about what they hold.
+NEUTRAL = frozenset("html body b i em strong span a u div section center font svg math".split())
 #: What an opening tag closes when it is still open.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 
@@ -113,6 +116,8 @@ def cut(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
+        if m[3].endswith("/") and tag in ("svg", "math", "path"):
+            continue
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
@@ -140,18 +145,24 @@ def cut(page: str) -> list[Block]:
 
 @lru_cache(maxsize=50_000)
 def path_cells(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tag path: tags, their place from the leaf, trigrams of class and id words."""
+    """Hashed tag path, whole: tags, the innermost ones by place, trigrams of class and id words.
+
+    Every step counts once however deep it lies, so wrappers around a container change nothing.
+    """
     v = np.zeros(PATH, np.float32)
-    for depth, step in enumerate(reversed(path[-12:])):
+    seen = set()
+    telling = [step for step in path if step.split(" ", 1)[0] not in NEUTRAL]
+    for depth, step in enumerate(reversed(telling[-2:])):
+        v[zlib.crc32(f"{step.split(' ', 1)[0]}@{depth}".encode()) % PATH] += 0.5
+    for step in set(path):
         tag, *names = step.split()
-        if tag not in ("html", "body", "b", "i", "em", "strong", "span", "a", "u"):
-            v[zlib.crc32(tag.encode()) % PATH] += 1
-            if depth < 2:
-                v[zlib.crc32(f"{tag}@{depth}".encode()) % PATH] += 0.5
+        if tag not in NEUTRAL:
+            seen.add(tag)
         for name in re.findall(r"[a-z]+", " ".join(names)):
             marked = f"^{name}$"
-            for k in range(max(1, len(marked) - 2)):
-                v[zlib.crc32(marked[k : k + 3].encode()) % PATH] += 0.5
+            seen.update(marked[k : k + 3] for k in range(max(1, len(marked) - 2)))
+    for mark in sorted(seen):
+        v[zlib.crc32(mark.encode()) % PATH] += 0.5 if "^" in mark or "$" in mark or len(mark) == 3 else 1
     return np.minimum(v, 2)
 
 
@@ -240,13 +251,15 @@ def label(x: np.ndarray, breaks: np.ndarray, model: Labeller) -> np.ndarray:
 
 
 #: Fixed values for generated pages: containers of main text, containers of everything else, and words that the latter tend to hold.
-MAIN = ["article", "main", "article class='post'", "main id='content'", "div class='content'", "div id='article-body'", "section class='entry-content'", "div class='post-content'", "div class='story'", "div role='main'", "div class='text'"]
+MAIN = ["article", "main", "article class='post'", "main id='content'", "div class='content'", "div id='article-body'", "section class='entry-content'", "div class='post-content'", "div class='story'", "div role='main'", "div class='text'", "div", "div", "section"]
 OTHER = [
     "nav", "header", "footer", "aside", "form", "div class='menu'", "div class='navbar'", "div id='header'", "div class='site-header'", "div class='footer'", "div id='footer-links'", "div class='sidebar'", "aside class='widget'", "div class='ad'",
     "div class='ads banner'", "div class='advert'", "div class='sponsored'", "div class='promo'", "div class='cookie-notice'", "div id='cookie-banner'", "div class='notice'", "div class='alert'", "div class='newsletter'", "div class='subscribe'",
     "section class='comments'", "div id='comments'", "div class='comment-list'", "div class='comment'", "ol class='commentlist'", "div class='related'", "ul class='share'", "div class='social'", "div class='breadcrumbs'", "div class='login form'", "div class='popup'", "div class='copyright'", "div class='pagination'", "div class='search'", "div class='reader-comments'", "div class='consent'",
 ]
 TYPICAL = "home about contact login menu search cookie cookies accept privacy terms subscribe newsletter share reply comment comments copyright rights reserved related sponsored advertisement email password submit next previous".split()
+#: Names that say nothing, around anything.
+PLAIN = ["div", "div", "div", "section", "div class='wrapper'", "div id='page'", "div class='container'", "div class='row'", "div class='inner'", "div class='col'", "div id='root'", "center"]
 
 
 def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
@@ -254,12 +267,22 @@ def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
     rnd = random.Random(seed)
     syllables = [a + b for a in "bcdfglmnprstv" for b in ("a", "e", "i", "o", "u", "an", "er", "is", "on")]
     word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3)))
+
+    def wrapped(inner: str, levels: int) -> str:
+        for _ in range(levels):
+            kind = rnd.choice(PLAIN)
+            inner = f"<{kind}>{inner}</{kind.split()[0]}>"
+        return inner
+
+    def depth() -> int:
+        return rnd.choice([0, 0, 0, 0, 1, 1, 2, 3, 5, 8, 20])
+
     for _ in range(n):
         main: set[str] = set()
 
         def sentence(low: int, high: int, typical: float = 0.0) -> str:
             said = [rnd.choice(TYPICAL) if rnd.random() < typical else word() for _ in range(rnd.randint(low, high))]
-            return " ".join(said).capitalize() + rnd.choice([".", ".", ".", "!", "", "###"])
+            return " ".join(said).capitalize() + rnd.choice([".", ".", ".", "!", "?", ""])
 
         def other(kind: str) -> str:
             tag = kind.split()[0]
@@ -271,34 +294,33 @@ def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
             elif style < 0.6:
                 inner = rnd.choice(["", "&copy; "]) + sentence(1, 18, typical)
             else:
-                inner = "".join(f"<p>{sentence(2, 40, typical)}</p>" for _ in range(rnd.randint(1, 4)))
-            return f"<{kind}>{inner}</{tag}>"
+                inner = "".join(wrapped(f"<p>{sentence(2, 40, typical)}</p>", rnd.choice([0, 0, 1])) for _ in range(rnd.randint(1, 4)))
+            return wrapped(f"<{kind}>{inner}</{tag}>", rnd.choice([0, 0, 0, depth()]))
 
         def body() -> str:
             out = []
+            bare = rnd.random() < 0.2  # paragraphs as plain div elements
             for k in range(rnd.randint(1, 14)):
                 said = sentence(1, 4) if rnd.random() < 0.25 else " ".join(sentence(3, 15) for _ in range(rnd.randint(1, 5)))
-                tag = "h1" if k == 0 and rnd.random() < 0.7 else rnd.choice(["p"] * 8 + ["h2", "h3", "li", "blockquote", "td", "pre"])
+                tag = "h1" if k == 0 and rnd.random() < 0.7 else "div" if bare else rnd.choice(["p"] * 8 + ["h2", "h3", "li", "blockquote", "td", "pre"])
+                said = sentence(1, 12) if tag == "h1" else said
                 main.add(said)
-                inner = f"<b>{said}<br>" if rnd.random() < 0.15 else said
-                inner = {"li": f"<ul><li>{inner}</li></ul>", "td": f"<table><tr><td>{inner}</td></tr></table>"}.get(tag, f"<{tag}>{inner}" + (f"</{tag}>" if rnd.random() < 0.9 else ""))
-                out.append(inner)
+                inner = rnd.choice([said, said, said, said, f"<b>{said}</b>", f"<b>{said}<br>", f"<span>{said}</span>"])
+                inner = {"li": f"<ul><li>{inner}</li></ul>", "td": f"<table><tr><td>{inner}</td></tr></table>"}.get(tag, f"<{tag}>{inner}" + (f"</{tag}>" if tag == "div" or rnd.random() < 0.9 else ""))
+                out.append(wrapped(inner, rnd.choice([0, 0, 0, 0, 0, 1, 2])))
                 if rnd.random() < 0.06:
                     out.append(other(rnd.choice(OTHER[5:])))
             return "".join(out)
 
         some = lambda low, high: "".join(other(rnd.choice(OTHER)) for _ in range(rnd.randint(low, high)))
         kind = rnd.choice(MAIN[:1] * 4 + MAIN)
-        wrap = rnd.choice(["", "", "div class='wrapper'", "div id='page'", "div class='container'"])
-        core = f"<{kind}>{body()}</{kind.split()[0]}>"
-        page = some(0, 3) + core + some(0, 3)
-        if wrap:
-            page = f"<{wrap}>{page}</{wrap.split()[0]}>"
-        yield f"<html><head><title>{sentence(2, 9)}</title></head><body>{some(0, 2)}{page}{some(0, 2)}</body></html>", main
+        core = wrapped(f"<{kind}>{body()}</{kind.split()[0]}>", depth())
+        page = wrapped(some(0, 3) + core + some(0, 3), depth())
+        yield f"<html><head><title>{sentence(2, 12)}</title></head><body>{some(0, 2)}{page}{some(0, 2)}</body></html>", main
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 800, epochs: int = 6, batch: int = 40, seed: int = 3) -> Labeller:
+def trained(pages: int = 1600, epochs: int = 5, batch: int = 40, seed: int = 3) -> Labeller:
     """Train on generated pages by Adam; the same result every time."""
     cells, rnd = WordCells(), np.random.default_rng(seed)
     xs, ys = [], []
@@ -326,10 +348,11 @@ def trained(pages: int = 800, epochs: int = 6, batch: int = 40, seed: int = 3) -
                 dz, grads[1][d] = lstm_back(part, theta[1][d], tapes[d], (len(x), 4 * HIDDEN))
                 grads[0][d, :-1], grads[0][d, -1] = x.T @ dz, dz.sum(axis=0)
             step += 1
+            rate = 0.02 * (1 - 0.95 * step / (epochs * (pages // batch)))
             for k, g in enumerate(grads):
                 g = g + 1e-5 * theta[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g**2
-                theta[k] = theta[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                theta[k] = theta[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return Labeller(*(t.astype(np.float32) for t in theta))
 
 

@@ -6,11 +6,12 @@ The length-weighted mean of its forward-backward marginals is the document's qua
 
 Training labels come from documents: every line carries its document's label. At most
 ``max_docs`` labelled documents (those of the lowest hash, up to ``max_lines`` lines each)
-are used; only their numbers, no texts, reach the driver.
+are used; of rows that repeat a labelled id the smallest text counts; only their numbers,
+no texts, reach the driver.
 
 Edge cases: a null or empty text is one empty line and gets that line's marginal; without
-labelled documents every score is 0.5; repeated rows score alike; an empty table gives an
-empty result. Only doc_id and text are read for scoring.
+labelled documents every score is 0.5; very long texts are labelled whole; repeated rows score
+alike; an empty table gives an empty result. Only doc_id and text are read for scoring.
 """
 
 from __future__ import annotations
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, max_docs: int = MAX_DOCS
     """Train on a bounded sample of labelled documents; ``where`` selects the rows that may be learned from."""
     small_batches(docs.sparkSession)
     sample = labelled_ids(labels, "quality", max_docs, where)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("value").cast("int").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "value").agg(F.min("text").alias("text"))
+    rows = rows.select("text", F.col("value").cast("int").alias("y"))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers()

@@ -7,15 +7,16 @@ and a bin keeps the smallest value of the first round that reached it; after
 place fills. Similarity 0.85 agrees on one of 25 bands of 5 places with a probability of
 1 - 4e-7.
 
-Documents with equal sets form one class, and only classes are compared. A small bucket is
-compared in all pairs. A larger one is compared with one of its members only, its pivot p.
+Documents with equal sets form one class, and only classes are compared. A bucket of at
+most ``SMALL`` classes is compared in all pairs, whatever the round. A larger one is compared
+with one of its members only, its pivot p, so pairs stay linear in the members.
 For the others let C be what they share with p and B the rest. Two of them that are similar
 share at least theta (n1 + n2) - min(|C1|, |C2|) elements of B, theta = 0.85 / 1.85. So a
 member that is not similar to p meets, in the next round, only members with which it has an
 element of B in common, among the first ones in hash order that this bound leaves (prefix
 filtering), or those so small that the bound is not positive. Members that are similar to p
-are connected already. What is small rises eightfold with each round, by which time buckets
-have fallen apart. No link is lost, and copies never meet in all pairs.
+are connected already, and members of one bucket of the next round share an element that its
+pivot lacks, so buckets fall apart. No link is lost, and copies never meet in all pairs.
 
 Edge cases: a document of one to four words has one shingle, the whole sequence; null or
 empty texts have none and are linked with nothing; a null doc_id is linked with nothing
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Numbers, batches, mix64, shared_folder, small_batches, texts_of, unused, written
+from tidemark.llm.common import _TABLES, _WRITTEN, Numbers, batches, forget, mix64, small_batches, texts_of, unused, written
+from tidemark.session import shared_folder
 
 WIDTH, COORDINATES, ROWS = 5, 125, 5
 CACHE = 1 << 20
@@ -106,9 +108,15 @@ def sketches(elements: np.ndarray, bounds: np.ndarray, t: int = COORDINATES) ->
     return out
 
 
+def rows_of_bands(percent: int, most_missed: float = 1e-4) -> int:
+    """The most rows in a band, up to ``ROWS``, by which a pair at the threshold is not missed."""
+    missed = lambda rows: (1 - (percent / 100) ** rows) ** (COORDINATES // rows)
+    return next((r for r in range(ROWS, 1, -1) if missed(r) <= most_missed), 1)
+
+
 def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band, (sets, bands); the band's number is part of it."""
-    bands = sketch.reshape(len(sketch), -1, rows)
+    bands = sketch[:, : sketch.shape[1] // rows * rows].reshape(len(sketch), -1, rows)
     key = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for j in range(rows):
@@ -116,9 +124,10 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, print_hi, print_lo, bands`` of each document; bands are null for empty sets."""
     small_batches(docs.sparkSession)
+    depth = rows_of_bands(percent)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -127,7 +136,7 @@ def described(docs: DataFrame) -> DataFrame:
             prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             full = [s for s in sets if len(s)]
             bounds = np.cumsum([0] + [len(s) for s in full])
-            keys = iter(band_keys(sketches(np.concatenate(full), bounds)) if full else ())
+            keys = iter(band_keys(sketches(np.concatenate(full), bounds), depth) if full else ())
             bands = [next(keys).tolist() if len(s) else None for s in sets]
             half = [np.array([p >> shift & 0xFFFFFFFFFFFFFFFF for p in prints], np.uint64).view(np.int64) for shift in (64, 0)]
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +171,9 @@ def bucketed(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"sets_{uuid.uuid4().hex}"
     dealt = sets.repartition(n, "doc_id").distinct()
-    dealt.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    dealt.write.bucketBy(n, "doc_id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(f"{shared_folder(spark)}/{name}")
     return spark.table(name)
 
 
@@ -193,12 +204,14 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("there"))
-        labels = written(lower.join(jump, lower.component == jump.via).select("node", F.least("component", "there").alias("component")), "labels")
+        older, labels = labels, written(lower.join(jump, lower.component == jump.via).select("node", F.least("component", "there").alias("component")), "labels")
+        forget(older)
+    forget(both)
     return labels
 
 
-#: Members of a bucket that is compared in all pairs, in the first round; eight times as many in each later one.
-SMALL = 8
+#: Members of a bucket that is compared in all pairs.
+SMALL = 16
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +247,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
         marked = written(pending.join(heads.where("members > 1 AND any").drop("any"), "key"), "buckets")
         if marked.isEmpty():
             break
-        few = F.col("members") <= SMALL * 8**round_
+        few = F.col("members") <= SMALL
         near = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
         small = marked.where(few).groupBy("key").agg(F.collect_set(F.struct("node", "n")).alias("m"))
         small = small.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x")["node"]) & near(F.col("x"), y))).alias("y"))
@@ -258,7 +271,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = written(described(ids), "sketches")
+    all_ = written(described(ids, percent), "sketches")
     known = all_.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["print_hi", "print_lo"]
     classes = written(known.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -287,8 +300,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The same columns; of each group of near duplicates the document with the smallest id stays, once."""
+    """The same columns; of each group of near duplicates the document with the smallest id stays.
+
+    A document is all rows of its id; of rows that repeat both id and text one stays.
+    """
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_"))
     left = docs.join(gone, docs.doc_id == gone.gone_, "left_anti")
-    one, copy = W.partitionBy("doc_id").orderBy(F.xxhash64("text")), unused(docs, "copy_")
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    if docs.where("doc_id IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return left
+    copy = unused(docs, "copy_")
+    one = W.partitionBy(*key).orderBy(F.octet_length("text"))
     return left.withColumn(copy, F.row_number().over(one)).where((F.col(copy) == 1) | F.col("doc_id").isNull()).drop(copy)

@@ -3,13 +3,14 @@
 Targets: each source has a weight and shares the total number of words by weight, but
 stops at ``max_repeat`` times its own size; the excess is shared again. Blocks of
 ``block_words`` words are then given to sources by highest quotient target / (2j + 1),
-and each source's blocks to its shards the same way, by size. Within a shard the
-documents lie on a line in seeded order and every block is taken quota / blocks times,
+and each source's blocks to its shards the same way, by size, if there are many in two
+steps. Within a shard the documents lie on a line in seeded order and every block is taken quota / blocks times,
 the remainder by seeded systematic selection.
 
 Edge cases: a null text has size 0, takes nothing and stays in the result; a null
-source is a source, the last one; repeated rows are separate documents; an empty table
-gives an empty result. Only doc_id, source and text are read from the input.
+source is a source, the last one; repeated rows are separate documents; a very long text
+lies on the line like others; an empty table gives an empty result. Only doc_id, source
+and text are read from the input.
 """
 
 from __future__ import annotations
@@ -79,52 +80,59 @@ def sainte_lague(rows: DataFrame, group: list[str], votes: str, seats: Column, o
     )
 
 
-def mix(docs: DataFrame, seed: int = 17, block_words: int = 8, shard_words: int = 65_536, max_shards: int = 4_096, max_repeat: int = 3) -> DataFrame:
+#: Shards that are apportioned together; larger sources have groups of shards first.
+TOGETHER = 4_096
+
+
+def mix(docs: DataFrame, seed: int = 17, block_words: int = 8, shard_words: int = 65_536, max_repeat: int = 3, text: str | None = None) -> DataFrame:
     """Per document: ``doc_id, size, source, source_size, target, taken``.
 
-    A source has one shard for each ``shard_words`` words, ``max_shards`` at most, so a
-    hot source is dealt over many tasks and a shard's line stays sortable in one.
+    A source has one shard for each ``shard_words`` words, so a hot source is dealt over
+    many tasks and a shard's line stays small, whatever the corpus. Its blocks go to groups
+    of ``TOGETHER`` shards, then to the shards of each group. With ``text`` (a column's name)
+    that column is what the mix takes: once for each time that a word is taken.
     """
-    sized = written(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
-            F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
-    )
+    words = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    own = docs.select("doc_id", "source", key.alias("key"), words.alias("size"), *(["text"] if text else []))
+    sized = written(own, "mix-sizes")
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     aimed = targets(sources, max_repeat)
     blocks = F.round(F.sum("source_size").over(W.partitionBy()) / block_words).cast("long")
     aimed = sainte_lague(aimed.withColumn("all_", F.lit(0)), ["all_"], "target", blocks, "rank", "blocks")
-    aimed = written(
-        aimed.select(
-            "key",
-            "source_size",
-            "target",
-            "blocks",
-            F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("shards"),
-        ),
-        "mix-sources",
-    )
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    aimed = written(aimed.select("key", "source_size", "target", "blocks", shards.alias("shards")), "mix-sources")
     lines = sized.join(aimed, "key").withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod("place", "shards"))
     shards = lines.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("source_blocks"))
-    shards = sainte_lague(shards, ["key"], "shard_size", F.col("source_blocks"), "shard", "won")
+    shards = written(shards.withColumn("group", F.floor(F.col("shard") / TOGETHER)), "mix-shards")
+    groups = shards.groupBy("key", "group").agg(F.sum("shard_size").alias("group_size"), F.first("source_blocks").alias("source_blocks"))
+    groups = sainte_lague(groups, ["key"], "group_size", F.col("source_blocks"), "group", "group_blocks").select("key", "group", "group_blocks")
+    shards = sainte_lague(shards.join(groups, ["key", "group"]), ["key", "group"], "shard_size", F.col("group_blocks"), "shard", "won")
     n = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_words)).cast("long")
     shards = shards.withColumn("n", n).select(
         "key", "shard", "n", F.least("won", F.col("n") * max_repeat).alias("quota"), F.pmod(F.xxhash64(F.lit(seed), "key", "shard"), "n").alias("phase")
     )
     line = W.partitionBy("key", "shard").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
 
+    def upto_block(k: Column) -> Column:
+        """Blocks taken among the first ``k`` of the shard's line, repeats counted."""
+        return k * F.expr("quota div n") + F.floor((k * (F.col("quota") % F.col("n")) + F.col("phase")) / F.col("n")).cast("long")
+
+    def times(block: Column) -> Column:
+        return upto_block(block + 1) - upto_block(block)
+
     def upto(x: Column) -> Column:
         """Words taken among the first ``x`` of the shard's line."""
-        whole, rest, before = F.expr("quota div n"), F.col("quota") % F.col("n"), F.floor(x / block_words).cast("long")
-        taken = lambda k: k * whole + F.floor((k * rest + F.col("phase")) / F.col("n")).cast("long")
-        return taken(before) * block_words + (x - before * block_words) * (taken(before + 1) - taken(before))
-
-    return (
-        lines.join(shards, ["key", "shard"])
-        .withColumn("end", F.sum("size").over(line))
-        .select("doc_id", "size", "source", "source_size", "target", (upto(F.col("end")) - upto(F.col("end") - F.col("size"))).alias("taken"))
-    )
+        before = F.floor(x / block_words).cast("long")
+        return upto_block(before) * block_words + (x - before * block_words) * times(before)
+
+    placed = lines.join(shards, ["key", "shard"]).withColumn("end", F.sum("size").over(line))
+    taken = (upto(F.col("end")) - upto(F.col("end") - F.col("size"))).alias("taken")
+    shown = ["doc_id", "size", "source", "source_size", "target", taken]
+    if text:
+        said = F.regexp_extract_all("text", F.lit(f"{WORDS}[\\x20\\x09-\\x0D]*"), F.lit(0))
+        block = lambda i: F.floor((F.col("end") - F.col("size") + i) / block_words).cast("long")
+        copy = lambda k: F.array_join(F.filter("said_", lambda _, i: times(block(i)) > k), "")
+        placed = placed.withColumn("said_", said)
+        shown.append(F.concat_ws("\n", *(F.nullif(copy(k), F.lit("")) for k in range(max_repeat))).alias(text))
+    return placed.select(*shown)

@@ -29,6 +29,7 @@ KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 
 DIGIT = re.compile(r"[0-9]")
+WORD = re.compile(r"[a-z]+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -38,15 +39,15 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-#: The score of a kind before context, and the words that raise it.
+#: The score of a kind before context, and the whole words near by that raise it.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "ssn": ("ssn", "social", "security"),
+    "email": {"mail", "email", "contact", "write"},
+    "ip": {"ip", "address", "host", "server"},
+    "card": {"card", "visa", "credit", "payment"},
+    "phone": {"phone", "telephone", "call", "tel", "mobile", "fax"},
+    "iban": {"iban", "account", "bank", "konto"},
+    "ssn": {"ssn", "social", "security"},
 }
 REACH, RAISE, LEAST = 40, 0.4, 0.5
 
@@ -138,8 +139,8 @@ def find(text: str) -> list[Span]:
     """All spans of a text by start, then kind."""
     found = []
     for kind, start, end in _proposals(text):
-        around = text[max(0, start - REACH) : start].lower() + " " + text[end : end + REACH].lower()
-        score = min(1.0, PRIOR[kind] + RAISE * any(w in around for w in CONTEXT[kind]))
+        around = WORD.findall(text[max(0, start - REACH) : start].lower() + " " + text[end : end + REACH].lower())
+        score = min(1.0, PRIOR[kind] + RAISE * (not CONTEXT[kind].isdisjoint(around)))
         if kind in BASE or score >= LEAST:
             found.append(Span(start, KINDS.index(kind), end, score))
     return sorted(found)
