@@ -7,9 +7,9 @@ and a bin keeps the smallest value of the first round that reached it; after
 place fills. Similarity 0.85 agrees on one of 25 bands of 5 places with a probability of
 1 - 4e-7.
 
-Documents with equal sets form one class, and only classes are compared. A bucket of at
-most ``SMALL`` classes is compared in all pairs, whatever the round. A larger one is compared
-with one of its members only, its pivot p, so pairs stay linear in the members.
+Documents with equal sets form one class, and only classes are compared. A bucket of a few
+classes (``SMALL`` at first, ``MOST`` at most, whatever the corpus) is compared in all pairs.
+A larger one is compared with one of its members only, its pivot p, so its pairs stay linear.
 For the others let C be what they share with p and B the rest. Two of them that are similar
 share at least theta (n1 + n2) - min(|C1|, |C2|) elements of B, theta = 0.85 / 1.85. So a
 member that is not similar to p meets, in the next round, only members with which it has an
@@ -210,8 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-#: Members of a bucket that is compared in all pairs.
-SMALL = 16
+#: Members of a bucket that is compared in all pairs: four times as many in each later round, up to a bound that holds for any corpus.
+SMALL, MOST = 64, 1024
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,17 +237,17 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Labels (node, component) of the classes that are linked; ``buckets``: key, node, n, score, open.
 
-    A bucket's pivot is the member of the highest score; buckets without an open member
-    have nothing left to find.
+    A bucket's pivot is its open member of the highest score (one that no pivot was similar
+    to yet); buckets without an open member have nothing left to find.
     """
     theta = percent / (100 + percent)
     edges, pending = None, buckets
     for round_ in count():
-        heads = pending.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("open").alias("any"), F.max_by("node", F.struct("score", -F.col("node"))).alias("pivot"))
+        heads = pending.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("open").alias("any"), F.max_by("node", F.struct("open", "score", -F.col("node"))).alias("pivot"))
         marked = written(pending.join(heads.where("members > 1 AND any").drop("any"), "key"), "buckets")
         if marked.isEmpty():
             break
-        few = F.col("members") <= SMALL
+        few = F.col("members") <= min(SMALL * 4**round_, MOST)
         near = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
         small = marked.where(few).groupBy("key").agg(F.collect_set(F.struct("node", "n")).alias("m"))
         small = small.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x")["node"]) & near(F.col("x"), y))).alias("y"))
