@@ -15,10 +15,12 @@ def test_merged_features_equal_the_batch(spark, sf, tmp_path):
     events, stream = parts(spark, sf, tmp_path)
     q = st.keep_features(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
     columns = ["entity", "latest_score", "mention_count"]
-    got = spark.read.parquet(str(tmp_path / "out" / f"batch={last}")).select(*columns)
-    assert sorted(got.collect()) == sorted(latest_features(mentions(events)).select(*columns).collect())
+    want = sorted(latest_features(mentions(events)).select(*columns).collect())
+    assert sorted(st.feature_table(spark, str(tmp_path / "out")).select(*columns).collect()) == want
+    st.forget_snapshots(spark, str(tmp_path / "out"))
+    assert sorted(st.feature_table(spark, str(tmp_path / "out")).select(*columns).collect()) == want
+    assert all(len(list(p.glob("batch=*"))) == 1 for p in (tmp_path / "out").glob("part=*"))
 
 
 def test_windows_in_stream_and_batch(spark, sf, tmp_path):

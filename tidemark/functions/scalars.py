@@ -32,8 +32,14 @@ def host(url: Column) -> Column:
     return F.parse_url(url, F.lit("HOST"))
 
 
-def bearer(header: Column) -> Column:
-    return F.regexp_replace(header, "^Bearer ", "")
+def encoded(text: Column) -> Column:
+    """Percent-encoded for a query string."""
+    return F.url_encode(text)
+
+
+def plain_numbers(values: Column) -> Column:
+    """Numbers of a map as text, recursively through nested lists of a JSON value: whole ones without a fraction."""
+    return F.regexp_replace(values, r"(?<=[\[,:{ ])(-?[0-9]+)\.0+(?=[\],} ]|$)", "$1")
 
 
 def tickers(text: Column) -> Column:

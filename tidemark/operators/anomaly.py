@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.indicators import recent_events
+
+
 def by_day() -> W:
     return W.partitionBy("symbol").orderBy("day")
 
@@ -100,3 +103,63 @@ def top_brokers(rows: DataFrame, by: str, broker: str, amount: str, k: int = 2)
 def only_market(rows: DataFrame, dimension: str, restricted: list[str], symbol: str = "symbol", market: str = "HK") -> DataFrame:
     """Restricted dimensions count only for symbols of the market."""
     return rows.where(~F.col(dimension).isin(restricted) | F.col(symbol).startswith(f"{market}."))
+
+
+def calm_drops(bars: DataFrame, implied: str = "iv", drop: float = -0.05, most_change: float = 0.05, back: int = 5) -> DataFrame:
+    """Days on which the price fell over ``back`` rows while implied volatility hardly moved."""
+    w = by_day()
+    price = F.try_divide(F.col("close"), F.lag("close", back).over(w)) - 1
+    vol = F.try_divide(F.col(implied), F.lag(implied, back).over(w)) - 1
+    return bars.withColumns({"price_change": price, "iv_change": vol}).where((F.col("price_change") <= drop) & (F.abs("iv_change") <= most_change))
+
+
+def co_movement(options: DataFrame, stock: DataFrame, least: float = 0.3) -> DataFrame:
+    """Days on which option volume and open interest both grow by ``least``, with the share's own change.
+
+    ``options``: ``symbol, day, volume, interest``; ``stock``: ``symbol, day, close``; joined by symbol and day.
+    """
+    w = by_day()
+    step = lambda c: F.try_divide(F.col(c).cast("double"), F.lag(c).over(w).cast("double")) - 1
+    moved = options.withColumns({"volume_change": step("volume"), "interest_change": step("interest")})
+    priced = stock.select("symbol", "day", step("close").alias("price_change"))
+    out = moved.join(priced, ["symbol", "day"]).where((F.col("volume_change") >= least) & (F.col("interest_change") >= least))
+    return out.withColumn("reading", F.when(F.col("price_change") > 0, "long").when(F.col("price_change") < 0, "short").otherwise("open"))
+
+
+def capital_anomalies(flows: DataFrame, symbol: str, days: int = 7, filters: list[str] | None = None, ratio: float = 2.0, excess: float = 1.0) -> DataFrame:
+    """Capital-flow events of one symbol: ``symbol, day, indicator, event``.
+
+    ``flows`` as from ``daily_flows``, with ``short_number`` and ``short_ratio`` where known.
+    """
+    own = flows.where(F.col("symbol") == symbol)
+    event = lambda df, name, what: df.select("symbol", "day", F.lit(name).alias("indicator"), F.lit(what).alias("event"))
+    found = {
+        "capital_distribution": lambda: event(divergence(own, ratio), "capital_distribution", "large_against_small"),
+        "capital_flow": lambda: event(against_recent(own.withColumn("out_", -F.col("net")), "out_").where((F.col("net") < 0) & (F.col("excess") >= excess)), "capital_flow", "outflow_speeds_up"),
+        "outflow_run": lambda: outflow_runs(own).select("symbol", F.col("last_day").alias("day"), F.lit("outflow_run").alias("indicator"), F.concat(F.lit("days_"), F.col("days").cast("string")).alias("event")),
+    }
+    if {"short_number", "short_ratio"} <= set(flows.columns):
+        found["short_sell_ratio"] = lambda: event(joint_rise(own, "short_number", "short_ratio"), "short_sell_ratio", "number_and_ratio_rise")
+    asked = [n for n in found if not filters or n in filters]
+    if not asked:
+        raise ValueError("no such dimension")
+    return recent_events([found[n]() for n in asked], own, days)
+
+
+def derivatives_anomalies(rows: DataFrame, symbol: str, days: int = 7, filters: list[str] | None = None, percentile: float = 90.0, back: int = 252, premium: float = 0.0) -> DataFrame:
+    """Derivatives events of one symbol from ``symbol, day, close, iv, put_call, volume, interest``."""
+    own = rows.where(F.col("symbol") == symbol)
+    event = lambda df, name, what: df.select("symbol", "day", F.lit(name).alias("indicator"), F.lit(what).alias("event"))
+    high = lambda value: historical_percentile(own, value, back).where(F.col("percentile") >= percentile)
+    found = {
+        "iv_percentile": lambda: event(high("iv"), "iv_percentile", "iv_high"),
+        "iv_hv_premium": lambda: event(volatility_premium(own, "iv", premium), "iv_hv_premium", "iv_over_hv"),
+        "put_call": lambda: event(high("put_call"), "put_call", "puts_high"),
+        "put_call_run": lambda: event(rising_days(own, "put_call", 2), "put_call_run", "rises_two_days"),
+        "calm_drop": lambda: event(calm_drops(own), "calm_drop", "price_falls_iv_flat"),
+        "co_movement": lambda: co_movement(own, own).select("symbol", "day", F.lit("co_movement").alias("indicator"), F.col("reading").alias("event")),
+    }
+    asked = [n for n in found if not filters or n in filters]
+    if not asked:
+        raise ValueError("no such dimension")
+    return recent_events([found[n]() for n in asked], own, days)

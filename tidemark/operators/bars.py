@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import along, beyond
+
 
 def ohlcv(ticks: DataFrame, width: str = "1 day", by: str = "event_type", value: str = "value", ident: str = "event_id") -> DataFrame:
     """``symbol, start, open, high, low, close, volume, turnover`` of tumbling windows; partial sums before the shuffle."""
@@ -31,16 +33,17 @@ def daily(ticks: DataFrame) -> DataFrame:
 def pivots(days: DataFrame) -> DataFrame:
     """Range lines (the day before's high and low) and the nearest older extremes beyond them."""
     w = W.partitionBy("symbol").orderBy("day")
-    past = w.rowsBetween(W.unboundedPreceding, -1)
-    return (
-        days.withColumn("range_high", F.lag("high").over(w))
-        .withColumn("range_low", F.lag("low").over(w))
-        .withColumn("highs_", F.collect_list("high").over(past))
-        .withColumn("lows_", F.collect_list("low").over(past))
-        .withColumn("swing_high", F.array_min(F.filter("highs_", lambda x: x > F.col("range_high"))))
-        .withColumn("swing_low", F.array_max(F.filter("lows_", lambda x: x < F.col("range_low"))))
-        .drop("highs_", "lows_")
-    )
+    lined = days.withColumns({"range_high": F.lag("high").over(w), "range_low": F.lag("low").over(w)})
+    return along(lined, "swing_high double, swing_low double", beyond)
+
+
+def trade_plan(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Stop and target of each entry: the stop is the confirming candle's far side, the target the
+    opposite range line, and ``reward_risk`` their distances from the price that is crossed."""
+    both = entries.where("entry != 'wait'").join(lines.select("symbol", "day", "range_high", "range_low"), ["symbol", "day"])
+    buy = F.col("entry") == "buy"
+    priced = both.withColumns({"price": F.when(buy, F.col("sneaky_high")).otherwise(F.col("sneaky_low")), "stop": F.when(buy, F.col("sneaky_low")).otherwise(F.col("sneaky_high")), "target": F.when(buy, F.col("range_high")).otherwise(F.col("range_low"))})
+    return priced.withColumn("reward_risk", F.try_divide(F.abs(F.col("target") - F.col("price")), F.abs(F.col("price") - F.col("stop")))).drop("range_high", "range_low", "sneaky_high", "sneaky_low")
 
 
 def three_candles(bars: DataFrame) -> DataFrame:

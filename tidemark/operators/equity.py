@@ -37,10 +37,38 @@ def weighted_score(rows: DataFrame, weights: dict[str, int] | None = None) -> Da
     return rows.withColumn("score", total)
 
 
+def places(rows: DataFrame, value: str, out: str, tie: str | None = None, descending: bool = False, buckets: int = 256) -> DataFrame:
+    """The rank of every row among all (from 1) as ``out``, and their number as ``all_``.
+
+    With ``tie`` rows are numbered, without it equal values share the first place. Values
+    are cut into ``buckets`` at approximate quantiles; a bucket is sorted on its own and
+    starts behind the counts of the buckets before it, so no task sees all rows.
+    """
+    cuts = F.array([F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = F.broadcast(rows.agg(F.percentile_approx(value, cuts, 10_000).alias("bounds_")))  # one row
+    bucket = F.coalesce(F.size(F.filter(F.array_distinct(F.coalesce("bounds_", F.array().cast("array<double>"))), lambda b: b < F.col(value))), F.lit(0))
+    dealt = rows.crossJoin(bounds).withColumn("bucket_", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(bucket)).drop("bounds_")
+    order = F.col("bucket_").desc() if descending else F.col("bucket_").asc()
+    counts = dealt.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"))
+    ahead = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)  # over one row for each bucket
+    counts = counts.select("bucket_", F.coalesce(F.sum("n_").over(ahead), F.lit(0)).alias("ahead_"), F.sum("n_").over(W.partitionBy()).alias("all_"))
+    by = F.desc(value) if descending else F.asc(value)
+    own = W.partitionBy("bucket_").orderBy(by, *([tie] if tie else []))
+    place = F.row_number() if tie else F.rank()
+    placed = dealt.withColumn("own_", place.over(own)).join(F.broadcast(counts), "bucket_")
+    return placed.withColumn(out, (F.col("own_") + F.col("ahead_")).cast("long")).drop("bucket_", "own_", "ahead_")
+
+
+def percent_rank_of_all(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``percent_rank`` over all rows."""
+    ranked_ = places(rows, value, "place_")
+    share = F.coalesce(F.try_divide((F.col("place_") - 1).cast("double"), (F.col("all_") - 1).cast("double")), F.lit(0.0))
+    return ranked_.withColumn(out, share).drop("place_", "all_")
+
+
 def ranked(rows: DataFrame, score: str, tie: str) -> DataFrame:
-    w = W.orderBy(F.desc(score), tie)
     call = F.when(F.col(score) >= 70, "buy").when(F.col(score) >= 50, "hold").otherwise("avoid")
-    return rows.withColumns({"rank": F.row_number().over(w).cast("long"), "recommendation": call})
+    return places(rows, score, "rank", tie, descending=True).drop("all_").withColumn("recommendation", call)
 
 
 def percent_ranks(rows: DataFrame, by: str, values: list[str]) -> DataFrame:

@@ -49,16 +49,28 @@ def merge_features(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """``entity, evidence``: the latest mention of each source, sources in order."""
-    per_source = rows.groupBy("entity", "source").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
-    item = F.struct(
+def evidence_item() -> Column:
+    return F.struct(
         F.col("source"),
         F.concat(F.lit("lake://bronze/source="), "source").alias("s3_uri"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         F.concat(F.col("n").cast("string"), F.lit(" mentions")).alias("note"),
     )
-    return per_source.groupBy("entity").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """``entity, evidence``: the latest mention of each source, sources in order."""
+    per_source = rows.groupBy("entity", "source").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
+    return per_source.groupBy("entity").agg(F.array_sort(F.collect_list(evidence_item())).alias("evidence"))
+
+
+def with_evidence(rows: DataFrame) -> DataFrame:
+    """Latest features and evidence together: one scan, summed by source before it is rolled up by entity."""
+    at = F.struct("ts", "id")
+    per_source = rows.groupBy("entity", "source").agg(F.max_by("score", at).alias("score"), F.max(at).alias("at"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"))
+    return per_source.groupBy("entity").agg(
+        F.max_by("score", "at").alias("latest_score"), F.sum("n").alias("mention_count"), F.max("ts").alias("updated_at"), F.array_sort(F.collect_list(evidence_item())).alias("evidence")
+    )
 
 
 def per_day(rows: DataFrame, by: str = "entity") -> DataFrame:

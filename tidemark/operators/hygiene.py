@@ -42,14 +42,17 @@ def ordered_distinct(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(position).alias("position")).orderBy("position")
 
 
-def quality_metrics(rows: DataFrame, by: str, ident: str, required: list[str], ts: str | None = None) -> DataFrame:
-    """Per partition: rows, duplicate rate, share of missing required values, freshness, and a score of 0 to 1."""
+def quality_metrics(rows: DataFrame, by: str, ident: str, required: list[str], ts: str | None = None, bad: Column | None = None) -> DataFrame:
+    """Per partition: rows, duplicate rate, share of missing required values, freshness (newest ``ts``),
+    share of ``bad`` rows, and a score of 0 to 1. Texts are told apart by 128-bit digests."""
+    known = F.unhex(F.md5(ident)) if dict(rows.dtypes)[ident] == "string" else F.col(ident)
     missing = reduce(lambda a, b: a + b, (F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), 1).otherwise(0) for c in required))
     out = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(ident).alias("n_distinct"),
+        F.count_distinct(known).alias("n_distinct"),
         F.sum(missing).cast("long").alias("n_missing"),
         *([F.max(ts).alias("freshest")] if ts else []),
+        *([F.round(F.count_if(bad) / F.count(F.lit(1)), 6).alias("error_rate")] if bad is not None else []),
     )
     share = F.col("n_missing") / (F.col("n_rows") * len(required))
     duplicate = 1 - F.col("n_distinct") / F.col("n_rows")
@@ -75,7 +78,8 @@ def weak_post(text: Column | str, least_words: int = 4, most_repeated: float = 0
     c = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
     repeated = 1 - F.try_divide(F.size(F.array_distinct(words)).cast("double"), F.size(words).cast("double"))
-    return (F.size(words) < least_words) | (F.coalesce(repeated, F.lit(1.0)) > most_repeated) | c.rlike(r"^\s*(RT|via) @") | c.rlike(r"^[\s$A-Z.]*$")
+    bare = c.rlike(r"^[^\p{L}\p{N}]*$")  # signs and emoji only
+    return (F.size(words) < least_words) | bare | (F.coalesce(repeated, F.lit(1.0)) > most_repeated) | c.rlike(r"^\s*(RT|via) @") | c.rlike(r"^[\s$A-Z.]*$")
 
 
 def keep_valuable(posts: DataFrame, text: str = "text", likes: str | None = None, least_likes: int = 1) -> DataFrame:

@@ -1,18 +1,21 @@
 """Technical indicators over bars (``symbol, day, open, high, low, close, volume``).
 
-Finite frames are window functions. EMA and KDJ are recursive: they fold the ordered
-history of a symbol with ``aggregate``, which is quadratic in the length of a history and
-meant for thousands of bars a symbol, with any number of symbols.
+Finite frames are window functions. MACD and KDJ are recursive: their state runs along the
+sorted days of a symbol in one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import along, moved
+
+
 def by_day() -> W:
     return W.partitionBy("symbol").orderBy("day")
 
@@ -68,21 +71,18 @@ def cci(bars: DataFrame, n: int = 14) -> DataFrame:
     return out.withColumn("cci", F.when(F.size("tps_") == n, value)).drop("tps_", "mean_")
 
 
-def folded(values: str, first: Callable[[Column], Column] | None, step: Callable[[Column, Column], Column]) -> Column:
-    """Fold the history of a column up to the current row; it starts with the first value or with ``first``."""
-    past = F.collect_list(values).over(by_day().rowsBetween(W.unboundedPreceding, 0))
-    if first is None:
-        return F.aggregate(F.slice(past, 2, F.greatest(F.size(past), F.lit(1))), F.get(past, F.lit(0)), step)
-    return F.aggregate(past, first(past), step)
-
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    def start() -> Callable[[dict], tuple]:
+        quick, long, mean_ = (moved(2.0 / (n + 1)) for n in (fast, slow, signal))
 
-def ema(values: str, n: int) -> Column:
-    return folded(values, None, lambda a, x: a + (x - a) * (2.0 / (n + 1)))
+        def step(row: dict) -> tuple:
+            a, b = quick(row["close"]), long(row["close"])
+            dif = None if a is None else a - b
+            return dif, mean_(dif)
 
+        return step
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    out = bars.withColumn("dif", ema("close", fast) - ema("close", slow))
-    out = out.withColumn("dea", ema("dif", signal))
+    out = along(bars, "dif double, dea double", start)
     return crossings(out.withColumn("macd", 2 * (F.col("dif") - F.col("dea"))), "dif", "dea")
 
 
@@ -90,10 +90,18 @@ def kdj(bars: DataFrame, n: int = 9) -> DataFrame:
     """K and D start at 50 and move by a third; J = 3K - 2D."""
     w = last(n)
     low, high = F.min("low").over(w), F.max("high").over(w)
-    third = lambda c: folded(c, lambda _: F.lit(50.0), lambda a, x: a * (2.0 / 3) + x / 3)
-    out = bars.withColumn("rsv", F.coalesce(F.try_divide(100 * (F.col("close") - low), high - low), F.lit(50.0)))
-    out = out.withColumn("k", third("rsv"))
-    out = out.withColumn("d", third("k"))
+    rows = bars.withColumn("rsv", F.coalesce(F.try_divide(100 * (F.col("close") - low), high - low), F.lit(50.0)))
+
+    def start() -> Callable[[dict], tuple]:
+        k, d = moved(1 / 3, 50.0), moved(1 / 3, 50.0)
+
+        def step(row: dict) -> tuple:
+            now = k(row["rsv"])
+            return now, d(now)
+
+        return step
+
+    out = along(rows, "k double, d double", start)
     return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d"))
 
 
@@ -151,23 +159,47 @@ INDICATORS = {
 }
 
 
+def _band(value: str, low: float, high: float) -> Column:
+    return F.when(F.col(value) > high, "overbought").when(F.col(value) < low, "oversold")
+
+
+#: Indicator filters and what counts as an event of each; zones are the usual ones and can be passed anew.
+EVENTS: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[], Column]]] = {
+    "MA": (moving_averages, lambda: F.col("cross")),
+    "MACD": (macd, lambda: F.col("cross")),
+    "BOLL": (bollinger, lambda: F.when(F.col("close") > F.col("upper"), "above_upper").when(F.col("close") < F.col("lower"), "below_lower")),
+    "RSI6": (lambda b: rsi(b, 6), lambda: F.col("zone")),
+    "RSI12": (lambda b: rsi(b, 12), lambda: F.col("zone")),
+    "RSI24": (lambda b: rsi(b, 24), lambda: F.col("zone")),
+    "CCI": (cci, lambda: _band("cci", -100, 100)),
+    "KDJ": (kdj, lambda: _band("k", 20, 80)),
+    "BIAS": (bias, lambda: _band("bias", -10, 10)),
+    "WMSR": (williams, lambda: F.when(F.col("wmsr") < 20, "overbought").when(F.col("wmsr") > 80, "oversold")),
+    "PSY": (psychological, lambda: _band("psy", 25, 75)),
+    "VR": (volume_ratio, lambda: _band("vr", 40, 160)),
+    "AR": (sentiment_ratios, lambda: _band("ar", 50, 150)),
+    "BR": (sentiment_ratios, lambda: _band("br", 40, 300)),
+    "OSC": (oscillator, lambda: F.when((F.col("osc") > 0) & (F.lag("osc").over(by_day()) <= 0), "turns_up").when((F.col("osc") < 0) & (F.lag("osc").over(by_day()) >= 0), "turns_down")),
+    "KLINE": (candles, lambda: F.col("pattern")),
+}
+
+
 def technical_anomalies(bars: DataFrame, symbol: str, days: int = 7, filters: list[str] | None = None) -> DataFrame:
-    """Events of the chosen indicators for one symbol in the last ``days`` days: ``symbol, day, indicator, event``."""
-    events = {
-        "MA": (moving_averages, F.col("cross")),
-        "MACD": (macd, F.col("cross")),
-        "RSI": (rsi, F.col("zone")),
-        "CCI": (cci, F.when(F.col("cci") > 100, "overbought").when(F.col("cci") < -100, "oversold")),
-        "KDJ": (kdj, F.when(F.col("k") < 20, "oversold").when(F.col("k") > 80, "overbought")),
-        "KLINE": (candles, F.col("pattern")),
-    }
-    own = bars.where(F.col("symbol") == symbol)
-    chosen = [n for n in events if not filters or n in filters]
-    if not chosen:
+    """Events of the chosen indicators for one symbol in the last ``days`` days: ``symbol, day, indicator, event``.
+
+    ``RSI`` stands for its three lengths and ``ARBR`` for both ratios.
+    """
+    several = {"RSI": ("RSI6", "RSI12", "RSI24"), "ARBR": ("AR", "BR")}
+    asked = [n for f in filters or EVENTS for n in several.get(f.upper(), (f.upper(),)) if n in EVENTS]
+    if not asked:
         raise ValueError("no such indicator")
-    parts = [events[n][0](own).select("symbol", "day", F.lit(n).alias("indicator"), events[n][1].alias("event")) for n in chosen]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    newest = own.agg(F.max("day").alias("newest"))
+    own = bars.where(F.col("symbol") == symbol)
+    parts = [EVENTS[n][0](own).withColumn("event", EVENTS[n][1]()).select("symbol", "day", F.lit(n).alias("indicator"), "event") for n in dict.fromkeys(asked)]
+    return recent_events(parts, own, days)
+
+
+def recent_events(parts: list[DataFrame], rows: DataFrame, days: int) -> DataFrame:
+    """The events of all parts within ``days`` days of the last day in ``rows``."""
+    newest = F.broadcast(rows.agg(F.max("day").alias("newest")))  # one row
+    found = reduce(DataFrame.union, parts)
     return found.where("event IS NOT NULL").crossJoin(newest).where(F.col("day") >= F.date_sub("newest", days)).drop("newest")

@@ -27,17 +27,23 @@ def resolve_aliases(rows: DataFrame, aliases: DataFrame, name: str = "name") ->
     return rows.join(known, F.lower(name) == F.col("alias_"), "left").drop("alias_").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, order: str, value: str, out: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, order: str, value: str, out: str, width: str = "day") -> DataFrame:
     """The latest ``value`` of ``right`` at or before each row of ``left``.
 
-    One sort of the union of both sides within each key: no rows are multiplied, whatever
-    the skew in time. ``order`` breaks ties among the rows of ``right``.
+    Both sides are dealt by key and time bucket (``width``), so a hot key is many tasks; a
+    bucket's last value is carried to the buckets after it. No rows are multiplied.
+    ``order`` breaks ties among the rows of ``right``.
     """
+    bucket = F.date_trunc(width, ts)
     l = left.withColumns({"side_": F.lit(1), "seen_": F.lit(None).cast(right.schema[value].dataType), "tie_": F.lit(None).cast(right.schema[order].dataType)})
     r = right.select(F.col(by), F.col(ts), F.lit(0).alias("side_"), F.col(value).alias("seen_"), F.col(order).alias("tie_"))
-    w = W.partitionBy(by).orderBy(ts, "side_", "tie_").rowsBetween(W.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
-    return both.withColumn(out, F.last("seen_", ignorenulls=True).over(w)).where("side_ = 1").drop("side_", "seen_", "tie_")
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("bucket_", bucket)
+    within_ = W.partitionBy(by, "bucket_").orderBy(ts, "side_", "tie_").rowsBetween(W.unboundedPreceding, 0)
+    ends = both.groupBy(by, "bucket_").agg(F.max_by("seen_", F.when(F.col("side_") == 0, F.struct(ts, "tie_"))).alias("end_"))
+    before = W.partitionBy(by).orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("carried_", F.last("end_", ignorenulls=True).over(before)).drop("end_")
+    seen = both.withColumn("in_", F.last("seen_", ignorenulls=True).over(within_)).where("side_ = 1").join(carried, [by, "bucket_"], "left")
+    return seen.withColumn(out, F.coalesce("in_", "carried_")).drop("side_", "seen_", "tie_", "bucket_", "in_", "carried_")
 
 
 def within(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, minutes: int) -> DataFrame:

@@ -31,6 +31,11 @@ def none() -> Column:
     return F.expr(f"cast(array() as array<{schema.ENTITY}>)")
 
 
+def whole(raw: DataFrame) -> Column:
+    """The payload as text, for records without a text of their own."""
+    return F.col("payload") if "payload" in raw.columns else F.to_json(F.struct("*"))
+
+
 def record(source: str, source_id: Column, ts: Column, text: Column, now: dt.datetime, found: Column | None = None, language: Column | None = None, **metadata: Column) -> list[Column]:
     items = [x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))]
     origin = {"connector": F.lit(source), "connector_version": F.lit("1"), "collection_method": F.lit("replay"), "source_url": F.lit(None).cast("string"), "license": F.lit(None).cast("string"), "ingest_ts": F.lit(now).cast("timestamp")}
@@ -56,18 +61,22 @@ def twitter(raw: DataFrame, now: dt.datetime) -> DataFrame:
     return raw.select(*record("twitter", c("id"), F.try_to_timestamp("created_at"), F.coalesce("text", F.lit("")), now, entities(c("hashtags"), "hashtag"), c("lang"), author_id=c("author_id"), public_metrics=c("public_metrics")))
 
 
+#: What is kept of a video or of a user.
+TIKTOK = ("author_name", "region_code", "like_count", "comment_count", "share_count", "follower_count", "following_count", "video_count")
+
+
 def tiktok(raw: DataFrame, now: dt.datetime) -> DataFrame:
     c = F.col
     filled = lambda n: F.nullif(c(n), F.lit(""))
     ts = F.coalesce(epoch(F.try_to_number(c("create_time").cast("string"), F.lit("9999999999999999"))), F.lit(now).cast("timestamp"))
-    return raw.select(*record("tiktok", c("id"), ts, F.coalesce(filled("desc"), filled("bio_description"), F.to_json(F.struct("*"))), now, region_code=c("region_code"), like_count=c("like_count"), share_count=c("share_count")))
+    return raw.select(*record("tiktok", c("id"), ts, F.coalesce(filled("desc"), filled("bio_description"), whole(raw)), now, **{n: c(n) for n in TIKTOK if n in raw.columns}))
 
 
 def threads(raw: DataFrame, now: dt.datetime) -> DataFrame:
     c = F.col
     filled = lambda n: F.nullif(c(n), F.lit(""))
     ts = F.coalesce(F.try_to_timestamp(filled("created_time")), F.try_to_timestamp(filled("timestamp")), F.lit(now).cast("timestamp"))
-    return raw.select(*record("threads", c("id"), ts, F.coalesce(filled("text"), filled("caption"), F.to_json(F.struct("*"))), now, permalink=F.coalesce(filled("permalink_url"), filled("permalink")), media_type=F.coalesce(filled("type"), filled("media_type"))))
+    return raw.select(*record("threads", c("id"), ts, F.coalesce(filled("text"), filled("caption"), whole(raw)), now, conversation=c("conversation") if "conversation" in raw.columns else F.lit(None), permalink=F.coalesce(filled("permalink_url"), filled("permalink")), media_type=F.coalesce(filled("type"), filled("media_type"))))
 
 
 def youtube(raw: DataFrame, now: dt.datetime) -> DataFrame:
@@ -126,6 +135,12 @@ NORMALIZERS: dict[str, Callable[[DataFrame, dt.datetime], DataFrame]] = {
 }
 
 
+def example(raw: DataFrame, now: dt.datetime) -> DataFrame:
+    """The synthetic source's normaliser: a post whose title and body are both there."""
+    c = F.col
+    return raw.select(*record("reddit", c("id"), F.timestamp_seconds(F.coalesce("created_utc", F.lit(0))), F.concat("title", F.lit("\n"), "selftext"), now, subreddit=c("subreddit")))
+
+
 def bronze_rows(raw: DataFrame) -> DataFrame:
     """Raw posts to the four bronze columns; only an absent subreddit takes the default."""
     source = F.col("subreddit") if "subreddit" in raw.columns else F.lit("reddit")

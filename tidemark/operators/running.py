@@ -1,0 +1,68 @@
+"""State carried along the days of a symbol: one sort, one pass, memory for one symbol's state.
+
+Used where a value depends on all values before it and no window function can say so.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tidemark.session import send_package
+
+
+def along(rows: DataFrame, outputs: str, start: Callable[[], Callable[[dict], tuple]], by: str = "symbol", order: str = "day") -> DataFrame:
+    """All columns and ``outputs`` (DDL of doubles): what a symbol's step function returns for each row in order.
+
+    ``start`` makes a fresh step function for every symbol; symbols may be any number and
+    their histories any length.
+    """
+    send_package(rows.sparkSession)
+    names = [x.split()[0] for x in outputs.split(", ")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, symbol = None, None
+        for b in batches:
+            found = []
+            for row in b.to_pylist():
+                if step is None or row[by] != symbol:
+                    step, symbol = start(), row[by]
+                found.append(step(row))
+            columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *names])
+
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def moved(weight: float, first: float | None = None) -> Callable[[float | None], float | None]:
+    """A value that moves towards each new one by ``weight``; it starts at ``first`` or at the first value. Nulls leave it."""
+    state = [first]
+
+    def step(x: float | None) -> float | None:
+        if x is not None:
+            state[0] = x if state[0] is None else state[0] + (x - state[0]) * weight
+        return state[0]
+
+    return step
+
+
+def beyond() -> Callable[[dict], tuple]:
+    """The lowest earlier high above ``range_high`` and the highest earlier low below ``range_low``."""
+    highs: list[float] = []
+    lows: list[float] = []
+
+    def step(row: dict) -> tuple:
+        top, low = row["range_high"], row["range_low"]
+        above = bisect_right(highs, top) if top is not None else len(highs)
+        below = bisect_left(lows, low) if low is not None else 0
+        out = (highs[above] if above < len(highs) else None, lows[below - 1] if below else None)
+        for known, x in ((highs, row["high"]), (lows, row["low"])):
+            if x is not None:
+                insort(known, x)
+        return out
+
+    return step

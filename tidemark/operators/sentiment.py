@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,9 +38,9 @@ def label(shares: DataFrame, near: float = 15.0, both: float = 25.0, weak: float
 def drivers(posts: DataFrame, symbol: str = "symbol") -> DataFrame:
     """Each symbol's share of the group's bullish and bearish posts."""
     counts = posts.groupBy(symbol).agg(F.count_if(F.col("stance") == "bullish").alias("bull"), F.count_if(F.col("stance") == "bearish").alias("bear"))
-    all_ = W.partitionBy()
-    share = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.sum(c).over(all_).cast("double")), 6)
-    return counts.select(symbol, "bull", "bear", share("bull").alias("bull_share"), share("bear").alias("bear_share"))
+    total = F.broadcast(counts.agg(F.sum("bull").alias("all_bull"), F.sum("bear").alias("all_bear")))  # one row
+    share = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.col(f"all_{c}").cast("double")), 6)
+    return counts.crossJoin(total).select(symbol, "bull", "bear", share("bull").alias("bull_share"), share("bear").alias("bear_share"))
 
 
 def data_window(posts: DataFrame, ts: str = "ts", symbol: str = "symbol") -> DataFrame:

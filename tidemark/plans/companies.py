@@ -65,12 +65,10 @@ def companies(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"), F.avg("l_discount").alias("disc"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("returned")
     )
-    from pyspark.sql import Window as W
-
-    s = table(spark, sf, "supplier").withColumn("cash", F.percent_rank().over(W.orderBy("s_acctbal")))
-    rows = s.join(lines, F.col("s_suppkey") == F.col("l_suppkey")).withColumn("rev", F.round("rev", 2))
+    s = equity.percent_rank_of_all(table(spark, sf, "supplier"), "s_acctbal", "cash")
+    rows = equity.percent_rank_of_all(s.join(lines, F.col("s_suppkey") == F.col("l_suppkey")).withColumn("rev", F.round("rev", 2)), "rev", "growth")
     return rows.select(
-        F.col("s_name").alias("company"), "s_nationkey", "cash", "rev", F.percent_rank().over(W.orderBy("rev")).alias("growth"), F.round(1 - F.col("returned"), 6).alias("quality"), F.round(1 - F.col("disc"), 6).alias("valuation"), F.round("returned", 6).alias("returned")
+        F.col("s_name").alias("company"), "s_nationkey", "cash", "rev", "growth", F.round(1 - F.col("returned"), 6).alias("quality"), F.round(1 - F.col("disc"), 6).alias("valuation"), F.round("returned", 6).alias("returned")
     )
 
 

@@ -172,12 +172,12 @@ def candle_patterns(spark, sf):
     f"""WITH {CH}, r AS (SELECT symbol, day, CASE WHEN count(change) OVER {last(6)} = 6 THEN 100 * avg(greatest(change, 0)) FILTER (WHERE change IS NOT NULL) OVER {last(6)} / nullif(avg(abs(change)) OVER {last(6)}, 0) END AS rsi FROM h),
 t AS (SELECT symbol, day, (high + low + close) / 3 AS tp FROM b), w AS (SELECT *, list(tp) OVER {last(14)} AS tps, avg(tp) OVER {last(14)} AS m FROM t),
 c AS (SELECT symbol, day, CASE WHEN len(tps) = 14 THEN (tp - m) / nullif(0.015::DOUBLE * list_sum(list_transform(tps, lambda x: abs(x - m))) / len(tps), 0) END AS cci FROM w),
-a AS (SELECT symbol, day, 'RSI' AS indicator, CASE WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' END AS event FROM r
+a AS (SELECT symbol, day, 'RSI6' AS indicator, CASE WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' END AS event FROM r
   UNION ALL SELECT symbol, day, 'CCI', CASE WHEN cci > 100 THEN 'overbought' WHEN cci < -100 THEN 'oversold' END FROM c)
 SELECT * FROM a WHERE symbol = 'click' AND event IS NOT NULL AND day >= (SELECT max(day) FROM b WHERE symbol = 'click') - 14"""
 )
 def technical_anomalies(spark, sf):
-    return indicators.technical_anomalies(days(spark, sf), "click", 14, ["RSI", "CCI"])
+    return indicators.technical_anomalies(days(spark, sf), "click", 14, ["RSI6", "CCI"])
 
 
 FL = """f AS (SELECT event_type AS symbol, ts::DATE AS day, sum(s) AS net, sum(CASE WHEN value >= 200 THEN s ELSE 0 END) AS large_net, sum(CASE WHEN value < 200 THEN s ELSE 0 END) AS small_net,

@@ -73,10 +73,9 @@ def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(hygiene.plain("html")).alias("text_md5"))
 
 
-@R.add("SELECT page_id, md5(left(html, 1000)) AS text_md5, url AS source_id FROM pages")
+@R.add("SELECT md5(left(html, 1000)) AS text_md5, url AS source_id FROM pages")
 def html_prefix_1000(spark, sf):
-    raw = table(spark, sf, "pages")
-    return normalize.edgar(raw, NOW).select(F.col("source_id"), F.md5("text").alias("text_md5")).join(raw.select("page_id", F.col("url").alias("source_id")), "source_id").select("page_id", "text_md5", "source_id")
+    return normalize.edgar(table(spark, sf, "pages"), NOW).select("source_id", F.md5("text").alias("text_md5"))
 
 
 @R.add(r"""SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1) AS script, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages""")
@@ -94,7 +93,7 @@ def url_parts(spark, sf):
 
 @R.add(
     """WITH r AS (SELECT text FROM conversations), w AS (SELECT text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM r)
-SELECT count(*) AS posts, count(*) FILTER (WHERE NOT (len(ws) < 4 OR coalesce(1 - len(list_distinct(ws))::DOUBLE / nullif(len(ws), 0), 1) > 0.5 OR regexp_matches(text, '^\\s*(RT|via) @') OR regexp_matches(text, '^[\\s$A-Z.]*$'))) AS kept FROM w""".replace("\\\\", "\\")
+SELECT count(*) AS posts, count(*) FILTER (WHERE NOT (len(ws) < 4 OR coalesce(1 - len(list_distinct(ws))::DOUBLE / nullif(len(ws), 0), 1) > 0.5 OR regexp_matches(text, '^[^\\p{L}\\p{N}]*$') OR regexp_matches(text, '^\\s*(RT|via) @') OR regexp_matches(text, '^[\\s$A-Z.]*$'))) AS kept FROM w""".replace("\\\\", "\\")
 )
 def post_quality_filter(spark, sf):
     posts = table(spark, sf, "conversations").select("text")

@@ -30,8 +30,7 @@ def mentions(spark, sf):
 
 def store(spark, sf):
     """The feature table with its evidence."""
-    rows = mentions(spark, sf)
-    items = features.latest_features(rows).join(features.evidence(rows), "entity", "left")
+    items = features.with_evidence(mentions(spark, sf))
     return items.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,19 @@ def session(cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSe
     return builder.getOrCreate()
 
 
+#: Applications whose executors have the package.
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once in each application, for operators that run Python there."""
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark", "zip", package.parent, package.name))
+        _SENT.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 

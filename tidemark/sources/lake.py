@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.operators.hygiene import latest_per_key
+from tidemark.session import dropped
 
 PARTITIONS = ("source", "year", "month", "day")
 
@@ -81,23 +82,47 @@ def skills(spark: SparkSession, pattern: str) -> DataFrame:
     ).orderBy("path")
 
 
-def write_raw_and_bronze(records: DataFrame, root: str, mode: str = "append") -> dict[str, str]:
-    """Both copies of normalised records, by source and day; Spark's committer makes each all or nothing."""
+def write_raw_and_bronze(records: DataFrame, root: str, mode: str = "append", payloads: DataFrame | None = None) -> dict[str, str]:
+    """Both copies of a run, by source and day; Spark's committer makes each all or nothing.
+
+    ``payloads`` (``source, ts, payload``) are what was fetched; without them the raw copy
+    holds the normalised records as JSON.
+    """
     ts = F.col("ts")
-    dated = records.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)})
+    dated = lambda df: df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)})
     paths = {"raw": f"{root}/raw", "bronze": f"{root}/bronze"}
-    dated.write.mode(mode).partitionBy(*PARTITIONS).json(paths["raw"])
-    dated.write.mode(mode).partitionBy(*PARTITIONS).parquet(paths["bronze"])
+    dated(records).write.mode(mode).partitionBy(*PARTITIONS).parquet(paths["bronze"])
+    raw = dated(records if payloads is None else payloads)
+    raw.write.mode(mode).partitionBy(*PARTITIONS).json(paths["raw"])
     return paths
 
 
-def bronze(spark: SparkSession, root: str, source: str | None = None, since: dt.date | None = None) -> DataFrame:
+def written_items(path: str, rows: DataFrame, mode: str = "overwrite") -> int:
+    """Write Parquet and say how many rows went out, counted on the way."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    return int(seen.get["n"])
+
+
+def expire(spark: SparkSession, root: str, before: dt.date) -> list[str]:
+    """Drop the day partitions under ``root`` that are older than ``before``; their folders."""
+    days = spark.read.parquet(root).select(*PARTITIONS).distinct()  # partition columns only: as many rows as folders
+    old = days.where(F.make_date("year", "month", "day") < F.lit(before)).orderBy(*PARTITIONS).collect()
+    folders = [f"{root}/source={r.source}/year={r.year}/month={r.month}/day={r.day}" for r in old]
+    for f in folders:
+        dropped(spark, f)
+    return folders
+
+
+def bronze(spark: SparkSession, root: str, source: str | None = None, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
     """Bronze rows, one for each key; source and days prune partitions."""
     rows = spark.read.parquet(f"{root}/bronze")
     if source:
         rows = rows.where(F.col("source") == source)
     if since:
         rows = rows.where(F.make_date("year", "month", "day") >= F.lit(since))
+    if until:
+        rows = rows.where(F.make_date("year", "month", "day") <= F.lit(until))
     return latest_per_key(rows, ["source", "source_id"], [F.col("provenance.ingest_ts"), F.col("ts")])
 
 

@@ -2,7 +2,9 @@
 
 Payloads are JSON lines files, one folder for each platform. Each file is one partition.
 A time range on ``ts`` is pushed into the reader; what it cannot push stays with Spark.
-Rows that do not parse are skipped, as are rows outside the range.
+Rows that do not parse are skipped, as are rows outside the range. This is the plug-in
+surface for platforms without a Spark reader; recorded files on shared storage are read by
+``ingest.recorded``, and order and limits of a fetch are ``ingest.newest``.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from tidemark.sources.registry import FETCH_LIMITS, TIMES
+from tidemark.session import send_package
+from tidemark.sources.registry import TIMES
 
 
 def moment(value: object, kind: str) -> dt.datetime | None:
@@ -24,7 +27,7 @@ def moment(value: object, kind: str) -> dt.datetime | None:
         if kind == "epoch":
             seconds = float(value)
             return dt.datetime.fromtimestamp(seconds / 1000 if seconds > 1e12 else seconds, dt.UTC).replace(tzinfo=None)
-        found = dt.datetime.fromisoformat(str(value).replace("Z", "+00:00"))
+        found = dt.datetime.fromisoformat(str(value))
         return found.astimezone(dt.UTC).replace(tzinfo=None) if found.tzinfo else found
     except (TypeError, ValueError, OverflowError, OSError):
         return None
@@ -38,7 +41,6 @@ class File(InputPartition):
 class ReplayReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.folder, self.platform = options["path"], options["platform"]
-        self.limit = int(options.get("limit", FETCH_LIMITS.get(self.platform, 0)))
         self.low = self.high = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -56,7 +58,6 @@ class ReplayReader(DataSourceReader):
 
     def read(self, partition: File) -> Iterator[tuple]:
         column, kind = TIMES.get(self.platform, (None, "iso"))
-        rows = 0
         with open(partition.path, encoding="utf-8") as lines:
             for line in lines:
                 try:
@@ -67,13 +68,10 @@ class ReplayReader(DataSourceReader):
                 if ts is not None and ((self.low and ts < self.low) or (self.high and ts > self.high)):
                     continue
                 yield self.platform, ts, line.strip()
-                rows += 1
-                if self.limit and rows >= self.limit:
-                    return
 
 
 class Replay(DataSource):
-    """``platform, ts, payload``; options: ``path`` (a folder on storage that executors share), ``platform``, ``limit``."""
+    """``platform, ts, payload``; options: ``path`` (a folder on storage that executors share), ``platform``."""
 
     @classmethod
     def name(cls) -> str:
@@ -87,5 +85,6 @@ class Replay(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    send_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Replay)
