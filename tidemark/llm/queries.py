@@ -90,7 +90,45 @@ QUERIES = {
     "op10_line_crf": op10_line_crf,
 }
 
+
+
+def _repeats(length: int, out: str) -> str:
+    """SQL of the maximal runs (r, a, b) covered by windows of ``length`` bytes that start twice, from hex pieces of 4,096 windows."""
+    return f"""{out}_w AS (SELECT r, c * 4096 + s AS s, hash(substr(piece, 2 * s + 1, {2 * length})) AS m
+  FROM (SELECT r, c, n, piece, unnest(range(0, least(4096, n - {length} + 1 - c * 4096))) AS s
+    FROM (SELECT r, c, n, substr(h, c * 8192 + 1, 8192 + {2 * length}) AS piece
+      FROM (SELECT r, h, n, unnest(range(0, (n - {length}) // 4096 + 1)) AS c FROM d WHERE n >= {length})))),
+{out}_g AS (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= {length} THEN 0 ELSE 1 END AS fresh
+  FROM {out}_w WHERE m IN (SELECT m FROM {out}_w GROUP BY m HAVING count(*) > 1)),
+{out}_i AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM {out}_g),
+{out} AS (SELECT r, k, min(s) AS a, max(s) + {length} AS b FROM {out}_i GROUP BY r, k)"""
+
+
 ORACLE_SQL = {
+    "op2_repeated_passages": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+{_repeats(400, "gone")},
+{_repeats(256, "shared")},
+ends AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM gone UNION ALL
+  SELECT d.r, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN gone USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS h FROM ends JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce((SELECT sum(b - a) FROM gone WHERE gone.r = d.r), 0)::BIGINT AS n_removed,
+  (SELECT count(*) FROM gone WHERE gone.r = d.r)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256,
+  coalesce((SELECT sum(b - a) FROM shared WHERE shared.r = d.r), 0)::BIGINT AS n_shared
+FROM d JOIN kept USING (r)
+""",
+    "op4_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS e FROM g),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.e = b.e AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT b, root FROM reach JOIN pairs ON node = a),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN c ON doc_id = node
+""",
     "op1_decontaminate": r"""
 WITH t AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
