@@ -1,5 +1,5 @@
 """Tidemark: market-signal analytics on Spark DataFrames.
 
-Every public operator takes DataFrames and returns a DataFrame; nothing here
-collects an input to the driver.
+Every public operator takes DataFrames and returns a DataFrame. What reaches the driver is
+bounded: catalogues, folder names, models and their samples, a benchmark block by block.
 """
