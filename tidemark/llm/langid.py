@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -129,8 +130,9 @@ def fit(docs: DataFrame, where: Column | None = None) -> Model:
     return Model(sorted(samples), alphabet, *double_array(automata, len(alphabet) + 2))
 
 
+@lru_cache(maxsize=1)
 def symbol_table(alphabet: str) -> np.ndarray:
-    """The symbol of every code point."""
+    """The symbol of every code point; kept by the worker process."""
     out = np.fromiter((STRANGE if chr(c).isalpha() else BLANK for c in range(0x110000)), np.int32, 0x110000)
     for i, c in enumerate(alphabet):
         out[ord(c)] = i + 2
