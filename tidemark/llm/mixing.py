@@ -15,13 +15,20 @@ and text are read from the input.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import written
+from tidemark.llm.common import batches, small_batches, texts_of, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: A word with the white space behind it.
+SAID = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def targets(sources: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
@@ -127,12 +134,31 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = 8, shard_words: int
         return upto_block(before) * block_words + (x - before * block_words) * times(before)
 
     placed = lines.join(shards, ["key", "shard"]).withColumn("end", F.sum("size").over(line))
-    taken = (upto(F.col("end")) - upto(F.col("end") - F.col("size"))).alias("taken")
-    shown = ["doc_id", "size", "source", "source_size", "target", taken]
-    if text:
-        said = F.regexp_extract_all("text", F.lit(f"{WORDS}[\\x20\\x09-\\x0D]*"), F.lit(0))
-        block = lambda i: F.floor((F.col("end") - F.col("size") + i) / block_words).cast("long")
-        copy = lambda k: F.array_join(F.filter("said_", lambda _, i: times(block(i)) > k), "")
-        placed = placed.withColumn("said_", said)
-        shown.append(F.concat_ws("\n", *(F.nullif(copy(k), F.lit("")) for k in range(max_repeat))).alias(text))
-    return placed.select(*shown)
+    taken = upto(F.col("end")) - upto(F.col("end") - F.col("size"))
+    shown = ["doc_id", "size", "source", "source_size", "target", "taken"]
+    placed = placed.withColumn("taken", taken)
+    if not text:
+        return placed.select(*shown)
+    parts = placed.select(*shown, (F.col("end") - F.col("size")).alias("first"), F.expr("quota div n").alias("whole"), (F.col("quota") % F.col("n")).alias("rest"), "phase", "n", F.col(text).alias("said"))
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            size, many = b.column(1).to_pylist(), b.column(5).to_pylist()
+            line = zip(*(b.column(k).to_pylist() for k in range(6, 11)), strict=True)
+            out = [mixed(t, n, *at, block_words) if k else "" for t, n, k, at in zip(texts_of(b.column(11)), size, many, line, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out, pa.string())], [*b.schema.names[:6], text])
+
+    small_batches(docs.sparkSession)
+    return parts.mapInArrow(cut, T.StructType([*parts.schema.fields[:6], T.StructField(text, T.StringType())]))
+
+
+def mixed(text: str, size: int, first: int, whole: int, rest: int, phase: int, n: int, block_words: int) -> str:
+    """The words of a text of ``size`` words that the mix takes; the text begins at word ``first`` of its
+    shard's line, and block b of the line is taken as often as ``taken`` counts it."""
+    said, out = SAID.findall(text), []
+    upto = lambda b: b * whole + (b * rest + phase) // n
+    blocks = range(first // block_words, (first + size - 1) // block_words + 1)
+    times = [upto(b + 1) - upto(b) for b in blocks]
+    for k in range(max(times)):
+        out.append("".join(w for b, t in zip(blocks, times, strict=True) if t > k for w in said[max(b * block_words - first, 0) : (b + 1) * block_words - first]))
+    return "\n".join(x for x in out if x)
