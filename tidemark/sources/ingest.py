@@ -83,13 +83,17 @@ def ingest(spark: SparkSession, catalogue: DataFrame, folder: str, root: str | N
             name = platform(row["name"])
             limit = options.get("limit")
             raw = fetch(recorded(spark, f"{folder}/{name}"), name, start, end, None if limit is None else int(limit))
-            records = NORMALIZERS[name](raw, now).observe(seen, F.count(F.lit(1)).alias("items"))
+            records = NORMALIZERS[name](raw, now)
             if root is None:
+                items = 0
                 for r in records.toLocalIterator():
                     show(r)
+                    items += 1
             else:
+                records = records.observe(seen, F.count(F.lit(1)).alias("items"))
                 lake.write_raw_and_bronze(records, root, payloads=raw.select(F.lit(name).alias("source"), payload_time(name).alias("ts"), "payload"))
-            out.append((row["name"], True, int(seen.get["items"]), time.monotonic() - began, None))
+                items = int(seen.get["items"])
+            out.append((row["name"], True, items, time.monotonic() - began, None))
         except Exception as e:  # noqa: BLE001  one platform's failure is its own
             out.append((row["name"], False, 0, time.monotonic() - began, str(e).splitlines()[0][:200]))
     return spark.createDataFrame(out, METRICS)
