@@ -5,10 +5,10 @@ from tidemark.operators import equity, sentiment
 def test_scalars(spark):
     df = spark.sql("SELECT TIMESTAMP '2026-07-12 20:30:00' AS ts, 2.0D AS whole, 2.5D AS part, 'Buy $TSLA $TSLA #Moon now good bad good' AS text, 'Bearer k' AS h, 'https://a.b/c?d' AS url, CAST(NULL AS INT) AS n")
     row = df.select(
-        s.iso_z(df.ts), s.compact_day(df.ts), s.local_minutes(df.ts), s.whole_or_fraction(df.whole), s.whole_or_fraction(df.part), s.clamp(df.n, 1, 50, 30), s.host(df.url), s.bearer(df.h), s.tickers(df.text), s.hashtags(df.text),
+        s.iso_z(df.ts), s.compact_day(df.ts), s.local_minutes(df.ts), s.whole_or_fraction(df.whole), s.whole_or_fraction(df.part), s.clamp(df.n, 1, 50, 30), s.host(df.url), s.encoded(df.h), s.tickers(df.text), s.hashtags(df.text),
         s.lexicon_score(df.text, ["good"], ["bad"]),
     ).first()
-    assert list(row[:10]) == ["2026-07-12T20:30:00Z", "20260712", "2026-07-13 04:30", "2", "2.5", 30, "a.b", "k", ["TSLA"], ["moon"]]
+    assert list(row[:10]) == ["2026-07-12T20:30:00Z", "20260712", "2026-07-13 04:30", "2", "2.5", 30, "a.b", "Bearer+k", ["TSLA"], ["moon"]]
     assert abs(row[10] - 1 / 8) < 1e-9
 
 
