@@ -205,3 +205,12 @@ def test_pipeline_is_its_stages_one_after_the_other(spark):
             want[i] = len(re.findall(r"[^\x20\x09-\x0D]+", pii.redact_text(text)))
     assert {i: r.size for i, r in got.items()} == want
     assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.taken <= 3 * r.size for r in got.values())
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    good = "\n".join(f"The {k}th sentence of a calm and ordered report ends here." for k in range(600))
+    junk = "\n".join("$$ ||| WIN >>> NOW !!! ### 99%" for _ in range(600))
+    docs = spark.createDataFrame([(i, good if i < 10 else junk) for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 10) as quality")
+    scores = {r.doc_id: r.score for r in line_crf.add_score(docs, line_crf.fit(docs, labels)).collect()}
+    assert min(scores[i] for i in range(10)) > 0.9 and max(scores[i] for i in range(10, 20)) < 0.1

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import dropped, shared_folder
+from tidemark.session import dropped, send_package, shared_folder
 
 #: Rows in one Arrow batch that a Python task receives. Texts may be long, so it is far below Spark's default.
 ROWS_PER_BATCH = 512
-#: Applications whose executors have the package; folders and catalogue tables that an application has written.
-_SENT: set[str] = set()
+#: Folders and catalogue tables that an application has written.
 _WRITTEN: dict[str, list[str]] = {}
 _TABLES: dict[str, list[str]] = {}
 
@@ -25,12 +21,7 @@ _TABLES: dict[str, list[str]] = {}
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Python worker holds at a time, and send this package to the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    context = spark.sparkContext
-    if context.applicationId not in _SENT:
-        package = Path(__file__).resolve().parents[1]
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark", "zip", package.parent, package.name)
-        context.addPyFile(archive)
-        _SENT.add(context.applicationId)
+    send_package(spark)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -5,9 +5,9 @@ same numbers for the lines before and after it. The field has two states, bad an
 The length-weighted mean of its forward-backward marginals is the document's quality.
 
 Training labels come from documents: every line carries its document's label. At most
-``max_docs`` labelled documents (those of the lowest hash, up to ``max_lines`` lines each)
-are used; of rows that repeat a labelled id the smallest text counts; only their numbers,
-no texts, reach the driver.
+``max_docs`` labelled documents (those of the lowest hash) are learned from, of each its
+first ``max_lines`` lines; of rows that repeat a labelled id the smallest text counts; only
+their numbers, no texts, reach the driver. Scoring always reads whole texts.
 
 Edge cases: a null or empty text is one empty line and gets that line's marginal; without
 labelled documents every score is 0.5; very long texts are labelled whole; repeated rows score
@@ -155,10 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, max_docs: int = MAX_DOCS
         numbers = Numbers()
         for b in batches(it):
             x, _, breaks = line_features(texts_of(b.column(0)), numbers)
-            found = [x[s:e].astype(np.float32).tobytes() if e - s <= max_lines else b"" for s, e in zip(breaks[:-1], breaks[1:], strict=True)]
+            found = [x[s : min(e, s + max_lines)].astype(np.float32).tobytes() for s, e in zip(breaks[:-1], breaks[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["x", "y"])
 
-    got = sorted((bytes(r.x), r.y) for r in rows.mapInArrow(describe, "x binary, y int").collect() if r.x)
+    got = sorted((bytes(r.x), r.y) for r in rows.mapInArrow(describe, "x binary, y int").collect())
     if not got:
         return np.zeros((3 * FEATURES + 1, 2)), np.zeros((2, 2))
     xs = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x, _ in got]
