@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.operators import alerts, equity, hygiene, linking, normalize, portfolio, ratios, running, search
+from tidemark.operators import alerts, equity, hygiene, linking, normalize, portfolio, ratios, search
 from tidemark.sources import ingest, lake
 from tidemark.sources.payloads import SCHEMAS, parsed
 
@@ -29,32 +29,12 @@ def test_places_are_ranks_over_all(spark):
     data = [(i, None if r.random() < 0.05 else float(r.randrange(40))) for i in range(700)]
     rows = spark.createDataFrame(data, "k int, v double")
     known = sorted((v is not None, v or 0.0) for _, v in data)
-    for p in equity.places(rows, "v", "place", buckets=7).collect():
+    for p in equity.places(rows, "v", "place").collect():
         assert p.place == 1 + sum(x < (p.v is not None, p.v or 0.0) for x in known) and p.all_ == 700
-    numbered = equity.places(rows.where("v IS NOT NULL"), "v", "place", "k", descending=True, buckets=7).collect()
-    assert [x.k for x in sorted(numbered, key=lambda x: x.place)] == [k for k, _ in sorted(((k, v) for k, v in data if v is not None), key=lambda x: (-x[1], x[0]))]
     assert equity.percent_rank_of_all(rows.limit(0), "v", "p").count() == 0
     assert equity.percent_rank_of_all(rows.where("k = 0"), "v", "p").first().p == 0
 
 
-def test_values_that_run_along(spark):
-    step = running.moved(0.5)
-    assert [step(x) for x in (None, 4.0, None, 8.0)] == [None, 4.0, 4.0, 6.0] and running.moved(0.5, 50.0)(100.0) == 75.0
-    rows = spark.createDataFrame([(s, d, float(d * 10 % 7)) for s in "ab" for d in range(50)], "symbol string, day int, x double")
-
-    def start():
-        total = [0.0]
-
-        def add(row):
-            total[0] += row["x"]
-            return (total[0],)
-
-        return add
-
-    got = {(r.symbol, r.day): r.total for r in running.along(rows, "total double", start).collect()}
-    assert got == {(s, d): sum(float(k * 10 % 7) for k in range(d + 1)) for s in "ab" for d in range(50)}
-
-
 def test_as_of_carries_values_over_buckets(spark):
     r = random.Random(8)
     at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=r.randrange(0, 60 * 24 * 9, 30))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import along, beyond
+from tidemark.operators import scans
 
 
 def ohlcv(ticks: DataFrame, width: str = "1 day", by: str = "event_type", value: str = "value", ident: str = "event_id") -> DataFrame:
@@ -32,9 +32,11 @@ def daily(ticks: DataFrame) -> DataFrame:
 
 def pivots(days: DataFrame) -> DataFrame:
     """Range lines (the day before's high and low) and the nearest older extremes beyond them."""
-    w = W.partitionBy("symbol").orderBy("day")
-    lined = days.withColumns({"range_high": F.lag("high").over(w), "range_low": F.lag("low").over(w)})
-    return along(lined, "swing_high double, swing_low double", beyond)
+    w = scans.inside()
+    lined = scans.with_rows_before(scans.ordered(days), 1, {"range_high": F.lag("high").over(w), "range_low": F.lag("low").over(w)})
+    above = scans.lowest_earlier_above(lined, F.col("high"), F.col("range_high"), "swing_high")
+    below = scans.lowest_earlier_above(lined, -F.col("low"), -F.col("range_low"), "swing_low").withColumn("swing_low", -F.col("swing_low"))
+    return lined.join(above, ["key_", "place_"], "left").join(below, ["key_", "place_"], "left").drop("key_", "place_", "block_")
 
 
 def trade_plan(entries: DataFrame, lines: DataFrame) -> DataFrame:

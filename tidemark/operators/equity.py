@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.scans import in_order
 
 
 def growth(rows: DataFrame, by: str, year: str, value: str) -> DataFrame:
@@ -37,33 +40,37 @@ def weighted_score(rows: DataFrame, weights: dict[str, int] | None = None) -> Da
     return rows.withColumn("score", total)
 
 
-def places(rows: DataFrame, value: str, out: str, tie: str | None = None, descending: bool = False, buckets: int = 256) -> DataFrame:
+def places(rows: DataFrame, value: str, out: str, tie: str | None = None, descending: bool = False) -> DataFrame:
     """The rank of every row among all (from 1) as ``out``, and their number as ``all_``.
 
-    With ``tie`` rows are numbered, without it equal values share the first place. Values
-    are cut into ``buckets`` at approximate quantiles; a bucket is sorted on its own and
-    starts behind the counts of the buckets before it, so no task sees all rows.
+    With ``tie`` rows are numbered, without it equal values share the first place. Rows are
+    sorted by value and tie (or a hash) together, so a value that most rows have is spread like any other;
+    places follow from the counts of the partitions. A value that starts in an earlier partition
+    takes its place from there. Bounds of partitions, not rows, reach the driver.
     """
-    cuts = F.array([F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = F.broadcast(rows.agg(F.percentile_approx(value, cuts, 10_000).alias("bounds_")))  # one row
-    bucket = F.coalesce(F.size(F.filter(F.array_distinct(F.coalesce("bounds_", F.array().cast("array<double>"))), lambda b: b < F.col(value))), F.lit(0))
-    dealt = rows.crossJoin(bounds).withColumn("bucket_", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(bucket)).drop("bounds_")
-    order = F.col("bucket_").desc() if descending else F.col("bucket_").asc()
-    counts = dealt.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"))
-    ahead = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)  # over one row for each bucket
-    counts = counts.select("bucket_", F.coalesce(F.sum("n_").over(ahead), F.lit(0)).alias("ahead_"), F.sum("n_").over(W.partitionBy()).alias("all_"))
     by = F.desc(value) if descending else F.asc(value)
-    own = W.partitionBy("bucket_").orderBy(by, *([tie] if tie else []))
-    place = F.row_number() if tie else F.rank()
-    placed = dealt.withColumn("own_", place.over(own)).join(F.broadcast(counts), "bucket_")
-    return placed.withColumn(out, (F.col("own_") + F.col("ahead_")).cast("long")).drop("bucket_", "own_", "ahead_")
+    if tie:
+        placed = in_order(rows, by, F.col(tie)).withColumn(out, F.col("place_") + 1)
+        return placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("all_")))).drop("place_")  # one row
+    spread = in_order(rows.withColumn("spread_", F.xxhash64(*rows.columns)), by, F.col("spread_"), parts=True).drop("spread_")
+    own = spread.withColumn("from_", F.min("place_").over(W.partitionBy("part_", value)))
+    ends = [F.count(F.lit(1)).alias("n"), F.min_by(value, "place_").alias("head"), F.max_by(value, "place_").alias("tail"), F.min("place_").alias("at"), F.max_by("from_", "place_").alias("tail_at")]
+    bounds = own.groupBy("part_").agg(*ends).orderBy("part_").collect()
+    heads, before = [], None
+    for b in bounds:  # a run that fills whole partitions keeps the place where it began
+        start = before[1] if before is not None and before[0] == b.head else b.at
+        heads.append((b.part_, b.head, start))
+        before = (b.tail, start if b.tail == b.head else b.tail_at)
+    firsts = F.broadcast(rows.sparkSession.createDataFrame(heads, T.StructType([T.StructField("part_", T.IntegerType()), T.StructField("head_", rows.schema[value].dataType), T.StructField("head_at_", T.LongType())])))
+    placed = own.join(firsts, "part_").withColumn(out, F.when(F.col(value).eqNullSafe(F.col("head_")), F.col("head_at_")).otherwise(F.col("from_")) + 1)
+    return placed.withColumn("all_", F.lit(sum(b.n for b in bounds)).cast("long")).drop("part_", "place_", "from_", "head_", "head_at_")
 
 
 def percent_rank_of_all(rows: DataFrame, value: str, out: str) -> DataFrame:
     """``percent_rank`` over all rows."""
-    ranked_ = places(rows, value, "place_")
-    share = F.coalesce(F.try_divide((F.col("place_") - 1).cast("double"), (F.col("all_") - 1).cast("double")), F.lit(0.0))
-    return ranked_.withColumn(out, share).drop("place_", "all_")
+    ranked_ = places(rows, value, "rank_")
+    share = F.coalesce(F.try_divide((F.col("rank_") - 1).cast("double"), (F.col("all_") - 1).cast("double")), F.lit(0.0))
+    return ranked_.withColumn(out, share).drop("rank_", "all_")
 
 
 def ranked(rows: DataFrame, score: str, tie: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Technical indicators over bars (``symbol, day, open, high, low, close, volume``).
 
-Finite frames are window functions. MACD and KDJ are recursive: their state runs along the
-sorted days of a symbol in one pass.
+Finite frames are window functions. MACD and KDJ are recursive: their states are scanned
+over blocks of days (``scans``), so a symbol's history is many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import along, moved
+from tidemark.operators import scans
 
 
 def by_day() -> W:
@@ -72,37 +72,23 @@ def cci(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def start() -> Callable[[dict], tuple]:
-        quick, long, mean_ = (moved(2.0 / (n + 1)) for n in (fast, slow, signal))
-
-        def step(row: dict) -> tuple:
-            a, b = quick(row["close"]), long(row["close"])
-            dif = None if a is None else a - b
-            return dif, mean_(dif)
-
-        return step
-
-    out = along(bars, "dif double, dea double", start)
-    return crossings(out.withColumn("macd", 2 * (F.col("dif") - F.col("dea"))), "dif", "dea")
+    rows = scans.ordered(bars)
+    out = scans.smoothed(rows, "close", {"fast_": (2.0 / (fast + 1), 1.0), "slow_": (2.0 / (slow + 1), -1.0)}, ("dea", 2.0 / (signal + 1)))
+    out = out.withColumn("dif", F.col("fast_") - F.col("slow_"))
+    above, w = F.col("dif") > F.col("dea"), scans.inside()
+    earlier = F.col("before_")["fast_"] - F.col("before_")["slow_"] > F.col("before_")["dea"]  # of the block before
+    before = F.when(F.row_number().over(w) > 1, F.lag(above).over(w)).otherwise(earlier)
+    out = out.withColumns({"macd": 2 * (F.col("dif") - F.col("dea")), "cross": F.when(above & ~before, "golden").when(~above & before, "death")})
+    return out.drop("fast_", "slow_", "before_", "key_", "place_", "block_")
 
 
 def kdj(bars: DataFrame, n: int = 9) -> DataFrame:
     """K and D start at 50 and move by a third; J = 3K - 2D."""
-    w = last(n)
-    low, high = F.min("low").over(w), F.max("high").over(w)
-    rows = bars.withColumn("rsv", F.coalesce(F.try_divide(100 * (F.col("close") - low), high - low), F.lit(50.0)))
-
-    def start() -> Callable[[dict], tuple]:
-        k, d = moved(1 / 3, 50.0), moved(1 / 3, 50.0)
-
-        def step(row: dict) -> tuple:
-            now = k(row["rsv"])
-            return now, d(now)
-
-        return step
-
-    out = along(rows, "k double, d double", start)
-    return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d"))
+    w = scans.inside().rowsBetween(-n + 1, 0)
+    rows = scans.with_rows_before(scans.ordered(bars), n - 1, {"low_": F.min("low").over(w), "high_": F.max("high").over(w)})
+    rows = rows.withColumn("rsv", F.coalesce(F.try_divide(100 * (F.col("close") - F.col("low_")), F.col("high_") - F.col("low_")), F.lit(50.0)))
+    out = scans.smoothed(rows, "rsv", {"k": (1 / 3, 1.0)}, ("d", 1 / 3), first=50.0)
+    return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d")).drop("low_", "high_", "before_", "key_", "place_", "block_")
 
 
 def bias(bars: DataFrame, n: int = 6) -> DataFrame:
