@@ -13,6 +13,7 @@ from tidemark.session import shared_folder, table
 from tidemark.sources import ingest, lake
 from tidemark.sources.payloads import parsed
 from tidemark.streaming import features as streams
+from tidemark.streaming import state
 
 R = Registry()
 NOW = dt.datetime(2024, 2, 1)
@@ -297,8 +298,35 @@ def streamed(spark, sf, files=3):
 def stream_feature_table(spark, sf):
     """The feature table that micro-batches leave, late files included, equals the batch."""
     root = scratch(spark, "features")
-    streams.keep_features(streamed(spark, sf), root, scratch(spark, "checkpoint")).awaitTermination()
-    return streams.feature_table(spark, root).select("entity", "latest_score", "mention_count", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+    state.keep_features(streamed(spark, sf), root, scratch(spark, "checkpoint")).awaitTermination()
+    return featured(state.feature_table(spark, root))
+
+
+def featured(table_):
+    return table_.select("entity", "latest_score", "mention_count", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+FEATURES = "SELECT 'user_' || user_id AS entity, arg_max(value, (ts, event_id)) AS latest_score, count(*) AS mention_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM events GROUP BY user_id"
+
+
+@R.add(FEATURES)
+def stream_features_resumed(spark, sf):
+    """Three runs of one stream, each over the files that came since, and old batches folded."""
+    events, folder, root, checkpoint = table(spark, sf, "events"), scratch(spark, "stream"), scratch(spark, "features"), scratch(spark, "checkpoint")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        state.keep_features(stream, root, checkpoint).awaitTermination()
+    state.compact_features(spark, root)
+    return featured(state.feature_table(spark, root))
+
+
+@R.add(f"{FEATURES} HAVING epoch_ms(max(ts)) + 43200000 > (SELECT epoch_ms(max(ts)) - 86400000 FROM events)")
+def stream_features_expire(spark, sf):
+    """Entities that were idle for twelve hours when the watermark, a day behind, ends are gone."""
+    root = scratch(spark, "features")
+    state.keep_features(streamed(spark, sf, 1), root, scratch(spark, "checkpoint"), "1 day", dt.timedelta(hours=12)).awaitTermination()
+    return featured(state.feature_table(spark, root))
 
 
 @R.add("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '1 hour', ts), event_type HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)")

@@ -1,16 +1,11 @@
-"""Structured Streaming: windowed mention counts, late duplicates, the incremental feature table."""
+"""Structured Streaming: windowed mention counts, late duplicates, sessions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark import schema
-from tidemark.operators.features import latest_features, mentions, merge_features
-from tidemark.session import dropped
-
 
 def timed(rows: DataFrame, delay: str) -> DataFrame:
     """With a watermark; it needs a timestamp with time zone."""
@@ -34,45 +29,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minute
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def feature_table(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
-    """The feature table as it stands: of every part the snapshot of the latest batch (up to ``upto``)."""
-    rows = spark.read.schema(f"{schema.FEATURE_DDL}, part int, batch bigint").parquet(root)
-    if upto is not None:
-        rows = rows.where(F.col("batch") <= upto)
-    newest = rows.select("part", "batch").distinct().groupBy("part").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), ["part", "batch"]).drop("batch")  # one row for each part
-
-
-def keep_features(events: DataFrame, root: str, checkpoint: str, parts: int = 16) -> StreamingQuery:
-    """Merge each micro-batch into the feature table under ``root``.
-
-    The table is dealt by a hash of the entity into ``parts``; a batch writes a new snapshot
-    of the parts that it touches only. Snapshots are named by batch, so one that is replayed
-    after a failure overwrites its own snapshots and counts nothing twice.
-    """
-    part = F.pmod(F.xxhash64("entity"), F.lit(parts)).cast("int")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest_features(mentions(batch)).withColumn("part", part)
-        if number > 0:
-            touched = F.broadcast(new.select("part").distinct())  # at most ``parts`` rows
-            old = feature_table(spark, root, number - 1).join(touched, "part", "left_semi")
-            new = merge_features(old.drop("part"), new.drop("part")).withColumn("part", part)
-        dated = new.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withColumn("batch", F.lit(number).cast("long"))
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(root)
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def forget_snapshots(spark: SparkSession, root: str) -> None:
-    """Delete snapshots that a later one of their part replaces; not while a stream writes the table."""
-    pairs = spark.read.schema(f"{schema.FEATURE_DDL}, part int, batch bigint").parquet(root).select("part", "batch").distinct()
-    newest = W.partitionBy("part").orderBy(F.desc("batch"))
-    for r in pairs.withColumn("k", F.row_number().over(newest)).where("k > 1").toLocalIterator():  # folders, not rows
-        dropped(spark, f"{root}/part={r.part}/batch={r.batch}")
-
-
 def run_once(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed windows as Parquet and stop when the input is used up."""
     return counts.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
