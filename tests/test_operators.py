@@ -54,16 +54,6 @@ def test_named_rules_and_rules_for_all(spark):
     assert {r.rule_id: r.entities for r in alerts.digest(fired).collect()} == {"a1": ["a"], "all": ["b"]}
 
 
-def test_deliver_swallows_errors(spark, tmp_path):
-    def send(alert):
-        if alert["entity"] == "bad":
-            raise OSError("unreachable")
-        (tmp_path / alert["entity"]).write_text(str(alert["score"]))
-
-    alerts.deliver(spark.createDataFrame([("bad", 1.0), ("good", 2.0)], "entity string, score double"), send)
-    assert [p.name for p in tmp_path.iterdir()] == ["good"]
-
-
 def test_weak_posts(spark):
     posts = spark.createDataFrame([("🚀🚀 🚀 🚀 🚀",), ("$A $B $C $D",), ("RT @x a long enough post here",), ("a quite normal post with words",), (None,), ("buy buy buy buy buy",)], "text string")
     assert [r.text for r in hygiene.keep_valuable(posts).collect()] == ["a quite normal post with words"]

@@ -40,16 +40,3 @@ def digest(fired: DataFrame, by: str = "rule_id", most: int = 5) -> DataFrame:
     top = top_per_group(fired, by, [F.desc("latest_score"), F.col("entity")], most)
     named = top.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]).alias("entities"))
     return fired.groupBy(by).agg(F.count(F.lit(1)).alias("alerts"), F.max("latest_score").alias("highest")).join(named, by)
-
-
-def deliver(alerts: DataFrame, send) -> None:
-    """Hand every alert to ``send`` (a picklable callable) from the executors; its errors are swallowed, as a webhook's are."""
-
-    def partition(rows):
-        for row in rows:
-            try:
-                send(row.asDict(recursive=True))
-            except Exception:  # noqa: BLE001  an unreachable receiver must not fail the job
-                continue
-
-    alerts.foreachPartition(partition)

@@ -13,6 +13,7 @@ from tidemark.operators.normalize import NORMALIZERS
 from tidemark.sources import lake
 from tidemark.sources.payloads import parsed, payload_time
 from tidemark.sources.registry import FETCH_LIMITS, platform
+from tidemark.sources.sink import deliver
 
 #: Platforms that are asked for a time range; one that is filtered after its newest rows were taken.
 RANGED, RESIDUAL = ("twitter", "tiktok", "youtube", "github", "stack_overflow"), ("reddit",)
@@ -27,15 +28,17 @@ def newest(rows: DataFrame, limit: int, skip: int = 0) -> DataFrame:
     return (ordered.offset(skip) if skip else ordered).limit(limit)
 
 
-def fetch(lines: DataFrame, name: str, start: dt.datetime, end: dt.datetime, limit: int | None = None, skip: int = 0) -> DataFrame:
+def fetch(lines: DataFrame, name: str, start: dt.datetime, end: dt.datetime, limit: int | None = None, skip: int = 0, after: bool = False) -> DataFrame:
     """Parsed payloads of one fetch; ``lines`` has a column ``payload``, one JSON object each.
 
     Newest first, one limit for the whole fetch; lines that do not parse are skipped. The
-    range (both ends included) is applied before the limit where the platform is asked for
+    range (both ends included, with ``after`` without its start) is applied before the limit where the platform is asked for
     it, after it where the platform is not, and not at all where records have no times.
     """
     rows = parsed(lines.where(F.try_parse_json("payload").isNotNull()), name).withColumn("ts_", payload_time(name))
     inside = F.col("ts_").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    if after:
+        inside = inside & (F.col("ts_") > F.lit(start).cast("timestamp"))
     if name in NEEDED:
         rows = rows.where(F.col(NEEDED[name]).isNotNull())
     if name in RANGED:
@@ -69,30 +72,59 @@ def chosen(catalogue: DataFrame, names: list[str] | None = None, execution: str
     return found
 
 
-def ingest(spark: SparkSession, catalogue: DataFrame, folder: str, root: str | None, end: dt.datetime, start: dt.datetime | None = None, names: list[str] | None = None, overrides: dict | None = None, now: dt.datetime | None = None, show: Callable = print) -> DataFrame:
+#: What takes a run's records, normalised and as they came, and says how many there were.
+Store = Callable[[DataFrame, DataFrame], int]
+
+
+def in_lake(root: str, run: str | None = None) -> Store:
+    """Both copies in the lake; with ``run`` a repeated run overwrites its own rows."""
+
+    def keep(records: DataFrame, payloads: DataFrame) -> int:
+        seen = Observation()
+        lake.write_raw_and_bronze(records.observe(seen, F.count(F.lit(1)).alias("items")), root, payloads=payloads, run=run)
+        return int(seen.get["items"])
+
+    return keep
+
+
+def to_sink(kind: str, journal: Callable[[], str], target: str = "", **options) -> Store:
+    """Records to the console, files or a webhook; ``journal`` makes a new folder for each connector's job."""
+
+    def keep(records: DataFrame, payloads: DataFrame) -> int:
+        return deliver(records, kind, journal(), target, **options).where("status = 'delivered'").count()
+
+    return keep
+
+
+def shown(show: Callable) -> Store:
+    """Each record to a function on the driver, one at a time."""
+
+    def keep(records: DataFrame, payloads: DataFrame) -> int:
+        items = 0
+        for items, r in enumerate(records.toLocalIterator(), 1):  # noqa: B007
+            show(r)
+        return items
+
+    return keep
+
+
+def ingest(spark: SparkSession, catalogue: DataFrame, folder: str, root: str | None, end: dt.datetime, start: dt.datetime | None = None, names: list[str] | None = None, overrides: dict | None = None, now: dt.datetime | None = None, show: Callable = print, store: Store | None = None, run: str | None = None) -> DataFrame:
     """Run the catalogue's connectors over ``[start, end]`` (default: the last hour): one row of metrics each.
 
-    ``folder`` has one folder of recorded payloads for each connector; ``root`` is the lake,
-    or None to hand each record to ``show`` instead. A connector that fails is reported and
-    does not stop the others. Overrides win over a connector's own options.
+    ``folder`` has one folder of recorded payloads for each connector. Records go to ``store``, else to
+    the lake ``root``, else, if that is None, to ``show`` one by one. A connector that fails is reported and
+    does not stop the others. Overrides win over a connector's own options. ``run`` names a window
+    of a schedule: its start is not included, and run again it overwrites its own rows.
     """
     start, now, out = start or end - dt.timedelta(hours=1), now or end, []
     for row in chosen(catalogue, names):
-        options, began, seen = {**(row.get("kwargs") or {}), **(overrides or {})}, time.monotonic(), Observation()
+        options, began = {**(row.get("kwargs") or {}), **(overrides or {})}, time.monotonic()
         try:
             name = platform(row["name"])
             limit = options.get("limit")
-            raw = fetch(recorded(spark, f"{folder}/{name}"), name, start, end, None if limit is None else int(limit))
-            records = NORMALIZERS[name](raw, now)
-            if root is None:
-                items = 0
-                for r in records.toLocalIterator():
-                    show(r)
-                    items += 1
-            else:
-                records = records.observe(seen, F.count(F.lit(1)).alias("items"))
-                lake.write_raw_and_bronze(records, root, payloads=raw.select(F.lit(name).alias("source"), payload_time(name).alias("ts"), "payload"))
-                items = int(seen.get["items"])
+            raw = fetch(recorded(spark, f"{folder}/{name}"), name, start, end, None if limit is None else int(limit), after=run is not None)
+            keep = store or (in_lake(root, run) if root else shown(show))
+            items = keep(NORMALIZERS[name](raw, now), raw.select(F.lit(name).alias("source"), payload_time(name).alias("ts"), "payload"))
             out.append((row["name"], True, items, time.monotonic() - began, None))
         except Exception as e:  # noqa: BLE001  one platform's failure is its own
             out.append((row["name"], False, 0, time.monotonic() - began, str(e).splitlines()[0][:200]))

@@ -82,18 +82,25 @@ def skills(spark: SparkSession, pattern: str) -> DataFrame:
     ).orderBy("path")
 
 
-def write_raw_and_bronze(records: DataFrame, root: str, mode: str = "append", payloads: DataFrame | None = None) -> dict[str, str]:
+def write_raw_and_bronze(records: DataFrame, root: str, mode: str = "append", payloads: DataFrame | None = None, run: str | None = None) -> dict[str, str]:
     """Both copies of a run, by source and day; Spark's committer makes each all or nothing.
 
     ``payloads`` (``source, ts, payload``) are what was fetched; without them the raw copy
-    holds the normalised records as JSON.
+    holds the normalised records as JSON. With ``run`` rows lie in folders of that name below their day, and
+    the same run written again replaces them; a lake has all its rows in such folders or none.
     """
     ts = F.col("ts")
     dated = lambda df: df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)})
     paths = {"raw": f"{root}/raw", "bronze": f"{root}/bronze"}
-    dated(records).write.mode(mode).partitionBy(*PARTITIONS).parquet(paths["bronze"])
-    raw = dated(records if payloads is None else payloads)
-    raw.write.mode(mode).partitionBy(*PARTITIONS).json(paths["raw"])
+    by = (*PARTITIONS, "run") if run else PARTITIONS
+
+    def writer(rows: DataFrame):
+        if not run:
+            return dated(rows).write.mode(mode).partitionBy(*by)
+        return dated(rows).withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+
+    writer(records).parquet(paths["bronze"])
+    writer(records if payloads is None else payloads).json(paths["raw"])
     return paths
 
 
