@@ -1,5 +1,7 @@
 """Pages that the generator of training pages does not make: foreign and meaningless names, links in articles, kept weights."""
 
+import random
+
 import pytest
 
 from tidemark.llm import html_text
@@ -50,3 +52,12 @@ def test_pages_of_a_batch_do_not_meet():
     pages = [page for page, _ in html_text.training_pages(30, seed=5, odd=0.5)]
     model, cells = html_text.trained(), html_text.WordCells()
     assert html_text.extract_pages(pages, model, cells) == [html_text.extract_pages([p], model, cells)[0] for p in pages]
+
+
+def test_random_names_of_containers():
+    r, right = random.Random(1), 0
+    for _ in range(60):
+        a, b, c = ("".join(r.choice("bcdfghjklmnpqrstvwxyzaeiou") for _ in range(r.randint(1, 6))) for _ in range(3))
+        page = f"<html><head><title>Title of it</title></head><body><div id={a}><h1>Title of it</h1><p>{FIRST}</p><p>{SECOND}</p></div><div class={b}>Buy our new shoes now, half the price!</div><div class={c}><p>Nice article, thank you for writing it.</p></div></body></html>"
+        right += read(page) == f"Title of it\n{FIRST}\n{SECOND}"
+    assert right >= 57

@@ -149,10 +149,18 @@ def cut(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=1)
+def known_names() -> frozenset[str]:
+    """First four letters of the names that training pages have."""
+    lists = " ".join([*MAIN, *OTHER, *PLAIN, *FOREIGN_MAIN, *FOREIGN_OTHER])
+    return frozenset(w[:4] for w in re.findall(r"[a-z]+", lists))
+
+
 @lru_cache(maxsize=50_000)
 def path_cells(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tag path, whole: tags, the innermost ones by place, trigrams of class and id words.
+    """Hashed tag path, whole: tags, the innermost ones by place, trigrams of class and id words that begin like a known one.
 
+    Other words were never learned from, so they would only be noise.
     Every step counts once however deep it lies, so wrappers around a container change nothing.
     """
     v = np.zeros(PATH, np.float32)
@@ -165,6 +173,8 @@ def path_cells(path: tuple[str, ...]) -> np.ndarray:
         if tag not in NEUTRAL:
             seen.add(tag)
         for name in re.findall(r"[a-z]+", " ".join(names)):
+            if name[:4] not in known_names():
+                continue
             marked = f"^{name}$"
             seen.update(marked[k : k + 3] for k in range(max(1, len(marked) - 2)))
     for mark in sorted(seen):
@@ -335,6 +345,8 @@ def training_pages(n: int, seed: int = 7, odd: float = 0.0) -> Iterator[tuple[st
             """The container under its own name, a foreign one, a cut one, or one that says nothing."""
             if meaningless:
                 return f"{rnd.choice(['div', 'div', 'div', 'section'])} {rnd.choice(['class', 'id'])}='{rnd.choice('bdfgkpqvxz') + re.sub("[^a-z]", "", word())[: rnd.randint(1, 5)]}'"
+            if strange and rnd.random() < 0.2:
+                return f"div {rnd.choice(['class', 'id'])}='{rnd.choice(foreign)}'"
             name = re.search(r"='([^']+)'", kind)
             if name is None or not strange or rnd.random() < 0.6:
                 return kind
@@ -383,22 +395,23 @@ def training_pages(n: int, seed: int = 7, odd: float = 0.0) -> Iterator[tuple[st
                     out.append(other(rnd.choice(OTHER[5:])))
             return "".join(out)
 
-        meaningless = strange and rnd.random() < 0.3
+        meaningless = strange and rnd.random() < 0.45
         title = sentence(2, 12)
         some = lambda low, high: "".join(other(rnd.choice(OTHER)) for _ in range(rnd.randint(low, high)))
         kind = named(rnd.choice(MAIN[:1] * 4 + MAIN), FOREIGN_MAIN)
-        core = wrapped(f"<{kind}>{body()}</{kind.split()[0]}>", depth())
+        nothing = strange and rnd.random() < 0.06  # nothing but menus and the like
+        core = rnd.choice(["".join(other(rnd.choice(OTHER)) for _ in range(rnd.choice([0, 1, 5, 30]))), f"<{(k := rnd.choice(OTHER))}>{word()}</{k.split()[0]}>" * rnd.randint(2, 150)]) if nothing else wrapped(f"<{kind}>{body()}</{kind.split()[0]}>", depth())
         page = wrapped(some(0, 3) + core + some(0, 3), depth())
         head = title if not strange else rnd.choice([title, title, title[: rnd.randint(5, 60)], f"{title} - {word()}", sentence(2, 12), ""])
         yield f"<html><head><title>{head}</title></head><body>{some(0, 2)}{page}{some(0, 2)}</body></html>", main
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 2000, epochs: int = 6, batch: int = 50, seed: int = 3) -> Labeller:
+def trained(pages: int = 2400, epochs: int = 7, batch: int = 50, seed: int = 3) -> Labeller:
     """Train on generated pages by Adam; the same result every time."""
     cells, rnd = WordCells(), np.random.default_rng(seed)
     xs, ys = [], []
-    for page, main in training_pages(pages, odd=0.9):
+    for page, main in training_pages(pages, odd=0.7):
         blocks = cut(page)
         xs.append(vectors(blocks, cells).astype(np.float64))
         ys.append(np.array([b.text in main and b.path[-1] != "title" for b in blocks], float))
