@@ -140,10 +140,11 @@ def norm_edgar(spark, sf):
     return shown(normalize.edgar(raw, NOW))
 
 
-@R.add("SELECT 'reddit' AS source, 'test1' AS source_id, '2024-01-10 00:00:00' AS ts, md5('Test post' || chr(10) || 'This is a synthetic test post') AS text_md5, '' AS language, '' AS entities, 'subreddit=example' AS metadata")
+@R.add("SELECT 'reddit' AS source, 'test1' AS source_id, '2024-01-10 00:00:00' AS ts, md5('Test post' || chr(10) || 'This is a synthetic test post') AS text_md5, '' AS language, '' AS entities, 'subreddit=' || n_name AS metadata FROM nation")
 def norm_example(spark, sf):
-    """The synthetic source and its normaliser."""
-    return shown(normalize.example(ingest.example(spark, dt.datetime(2024, 1, 10)), NOW))
+    """The synthetic source of every subreddit and its normaliser."""
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("subreddit"))
+    return shown(normalize.example(ingest.examples(names, dt.datetime(2024, 1, 10)), NOW))
 
 
 @R.add("SELECT event_id::VARCHAR AS source_id FROM (SELECT * FROM events ORDER BY date_trunc('second', ts) DESC, event_id DESC LIMIT 200) WHERE ts BETWEEN TIMESTAMP '2024-01-30 06:00:00' AND TIMESTAMP '2024-01-30 22:00:00'")
@@ -244,25 +245,24 @@ def signals_file(spark, sf):
 SKILL = "---\nname: {n}\ndescription: >-\n  What {n} does,\n  in two lines\nmetadata:\n  category: Hidden\n---\nBody"
 
 
-@R.add("SELECT 'skill-' || lower(r_name) AS id, r_name AS label, 'What ' || r_name || ' does,' || chr(10) || 'in two lines' AS description, 'General' AS category FROM region WHERE r_name NOT LIKE '% %'")
+@R.add("SELECT 'skill-' || lower(replace(r_name, ' ', '-')) AS id, r_name AS label, 'What ' || r_name || ' does,' || chr(10) || 'in two lines' AS description, 'General' AS category FROM region")
 def skills_catalogue(spark, sf):
     """Front matter of one file for each region; nested keys do not count."""
     root = scratch(spark, "skills")
-    names = [r.r_name for r in table(spark, sf, "region").select("r_name").where("NOT contains(r_name, ' ')").collect()]  # five regions
-    for n in names:
-        spark.createDataFrame([(SKILL.format(n=n),)], "value string").coalesce(1).write.text(f"{root}/skill-{n.lower()}")
+    for n in [r.r_name for r in table(spark, sf, "region").select("r_name").collect()]:  # five regions
+        spark.createDataFrame([(SKILL.format(n=n),)], "value string").coalesce(1).write.text(f"{root}/skill-{n.lower().replace(' ', '-')}")
     return lake.skills(spark, f"{root}/*/*.txt").select("id", "label", "description", "category")
 
 
-@R.add("SELECT * FROM (VALUES ('reddit', 'ecs', 'hourly', 'stocks'), ('edgar', 'ecs', 'daily', 'none')) t(name, execution, schedule, subreddit)")
+@R.add("SELECT lower(n_name) AS name, 'ecs' AS execution, CASE WHEN n_nationkey % 2 = 0 THEN 'hourly' ELSE 'daily' END AS schedule, n_regionkey::VARCHAR AS subreddit FROM nation WHERE n_regionkey <> 1")
 def connector_catalogue(spark, sf):
-    """A YAML catalogue: its rows that run remotely, and its names by line."""
+    """A YAML catalogue of all nations: its rows that run remotely, and its names by line."""
     path = scratch(spark, "catalogue")
-    text = "connectors:\n  - name: reddit\n    execution: ecs\n    schedule: hourly\n    kwargs:\n      subreddit: stocks\n  - name: x\n    execution: local\n  - name: edgar\n    execution: ecs\n    schedule: daily\n"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    entry = F.format_string("  - name: %s\n    execution: %s\n    schedule: %s\n    kwargs:\n      subreddit: %s", F.lower("n_name"), F.when(F.col("n_regionkey") == 1, "local").otherwise("ecs"), F.when(F.col("n_nationkey") % 2 == 0, "hourly").otherwise("daily"), F.col("n_regionkey").cast("string"))
+    page = table(spark, sf, "nation").agg(F.array_join(F.collect_list(entry), "\n").alias("all")).select(F.concat(F.lit("connectors:\n"), "all").alias("value"))  # a page of 25 entries
+    page.coalesce(1).write.text(path)
     named = lake.connector_names(spark, path)
-    rows = lake.connectors(spark, path).join(named, "name", "left_semi")
-    found = ingest.chosen(rows, execution="ecs")
+    found = ingest.chosen(lake.connectors(spark, path).join(named, "name", "left_semi"), execution="ecs")
     return spark.createDataFrame([(r["name"], r["execution"], r["schedule"], r["kwargs"].get("subreddit", "none")) for r in found], "name string, execution string, schedule string, subreddit string")
 
 

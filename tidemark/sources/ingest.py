@@ -6,9 +6,11 @@ import datetime as dt
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.hygiene import first_non_empty
 from tidemark.operators.normalize import NORMALIZERS
 from tidemark.sources import lake
 from tidemark.sources.payloads import parsed, payload_time
@@ -53,10 +55,48 @@ def recorded(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder).select(F.col("value").alias("payload"))
 
 
+def _ids(spark: SparkSession, path: str) -> DataFrame | None:
+    """``position, id`` of a recorded list of ids, one JSON array; None if there is none."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return None
+    return text.select(F.posexplode(F.from_json("value", "array<bigint>")).alias("position", "id"))
+
+
+def listed(ids: DataFrame, items: DataFrame, most: int = 50, ident: str = "id") -> DataFrame:
+    """The items of the first ``most`` ids of a list (``position, id``), in list order; ids without an item are left out."""
+    head = ids.orderBy("position").limit(most).select(F.col("position"), F.col("id").alias("id_"))
+    return items.join(F.broadcast(head), items[ident] == F.col("id_")).drop("id_").orderBy("position")  # at most ``most`` rows
+
+
+#: Where else a platform's payloads are looked for, if its first endpoint has none; the list of ids of one that is asked item by item.
+FALLBACKS = {"threads": ["threads_media"]}
+LISTS = {"hacker_news": "hacker_news_ids"}
+
+
+def endpoint(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Recorded payloads of a platform's first endpoint that has any; an error if no endpoint is there."""
+    tried = []
+    for at in (name, *FALLBACKS.get(name, [])):
+        try:
+            tried.append(recorded(spark, f"{folder}/{at}"))
+        except AnalysisException:
+            continue
+    if not tried:
+        raise FileNotFoundError(f"{folder}/{name}")
+    return first_non_empty(*tried)
+
+
+def examples(subreddits: DataFrame, start: dt.datetime) -> DataFrame:
+    """The synthetic source for each row of ``subreddit``: one fixed record at the start of the run."""
+    seconds = int(start.replace(tzinfo=dt.UTC).timestamp())
+    fields = F.struct(F.lit("test1").alias("id"), F.lit(seconds).alias("created_utc"), F.lit("Test post").alias("title"), F.lit("This is a synthetic test post").alias("selftext"), "subreddit")
+    return parsed(subreddits.select(F.to_json(fields).alias("payload")), "reddit")
+
+
 def example(spark: SparkSession, start: dt.datetime, subreddit: str = "example") -> DataFrame:
-    """The synthetic source: one fixed record at the start of the run."""
-    one = f'{{"id": "test1", "created_utc": {int(start.replace(tzinfo=dt.UTC).timestamp())}, "title": "Test post", "selftext": "This is a synthetic test post", "subreddit": "{subreddit}"}}'
-    return parsed(spark.createDataFrame([(one,)], "payload string"), "reddit")
+    return examples(spark.createDataFrame([(subreddit,)], "subreddit string"), start)
 
 
 def chosen(catalogue: DataFrame, names: list[str] | None = None, execution: str | None = None) -> list[dict]:
@@ -122,7 +162,9 @@ def ingest(spark: SparkSession, catalogue: DataFrame, folder: str, root: str | N
         try:
             name = platform(row["name"])
             limit = options.get("limit")
-            raw = fetch(recorded(spark, f"{folder}/{name}"), name, start, end, None if limit is None else int(limit), after=run is not None)
+            raw = fetch(endpoint(spark, folder, name), name, start, end, None if limit is None else int(limit), after=run is not None)
+            if name in LISTS and (ids := _ids(spark, f"{folder}/{LISTS[name]}")) is not None:
+                raw = listed(ids, parsed(endpoint(spark, folder, name), name)).drop("position")
             keep = store or (in_lake(root, run) if root else shown(show))
             items = keep(NORMALIZERS[name](raw, now), raw.select(F.lit(name).alias("source"), payload_time(name).alias("ts"), "payload"))
             out.append((row["name"], True, items, time.monotonic() - began, None))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +36,22 @@ def split_bad(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, Data
 def signals(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Trends of a signals file: an object with ``trends`` or a bare list.
 
-    A missing or broken file has no trends, unless ``strict``.
+    A missing or broken file has no trends; with ``strict`` it is an error.
     """
     item = f"struct<entity:string,score:double,latest_score:double,mention_count:bigint,evidence:array<{schema.EVIDENCE}>,ts:string>"
     try:
         text = spark.read.text(path, wholetext=True)
-        parsed = text.select(F.coalesce(F.from_json("value", f"struct<trends:array<{item}>>")["trends"], F.from_json("value", f"array<{item}>")).alias("t"))
-    except Exception:
+    except AnalysisException:
         if strict:
             raise
         return spark.createDataFrame([], f"entity string, score double, latest_score double, mention_count bigint, evidence array<{schema.EVIDENCE}>, ts string")
+    if strict:
+        kind = F.schema_of_variant(F.try_parse_json("value"))
+        whole = F.coalesce(kind.startswith("ARRAY") | (kind.startswith("OBJECT") & F.try_variant_get(F.try_parse_json("value"), "$.trends", "array<variant>").isNotNull()), F.lit(False))
+        broken = text.where(~whole).select(F.input_file_name().alias("path")).first()
+        if broken is not None or text.isEmpty():
+            raise ValueError(f"no signals in {broken.path if broken else path}")
+    parsed = text.select(F.coalesce(F.from_json("value", f"struct<trends:array<{item}>>")["trends"], F.from_json("value", f"array<{item}>")).alias("t"))
     return parsed.select(F.explode("t").alias("x")).where("x IS NOT NULL").select("x.*")
 
 
