@@ -51,7 +51,7 @@ def signals(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
         broken = text.where(~whole).select(F.input_file_name().alias("path")).first()
         if broken is not None or text.isEmpty():
             raise ValueError(f"no signals in {broken.path if broken else path}")
-    parsed = text.select(F.coalesce(F.from_json("value", f"struct<trends:array<{item}>>")["trends"], F.from_json("value", f"array<{item}>")).alias("t"))
+    parsed = text.select(F.coalesce(F.from_json("value", f"struct<trends:array<{item}>>")["trends"], F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>"))).alias("t"))
     return parsed.select(F.explode("t").alias("x")).where("x IS NOT NULL").select("x.*")
 
 
