@@ -6,9 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, similar
+from tidemark.operators import alerts, extract, schemas, similar
 from tidemark.plans.registry import Registry
-from tidemark.plans.runs import CATALOGUE, EPOCH, ISO, REDDIT, payloads, scratch, streamed
+from tidemark.plans.runs import CATALOGUE, EPOCH, IN_RANGE, ISO, REDDIT, payloads, recorded_run, scratch, streamed
 from tidemark.session import table
 from tidemark.sources import ingest, lake, schedule, sink
 from tidemark.streaming import late, subscriptions
@@ -154,3 +154,64 @@ def threads_fallback(spark, sf):
     payloads(table(spark, sf, "events"), "cast(event_id as string) as id", "concat('cap ', event_type) as caption", f"{ISO} as timestamp").write.text(f"{folder}/threads_media")
     ingest.ingest(spark, spark.createDataFrame([("threads", None)], "name string, kwargs map<string,string>"), folder, root, dt.datetime(2024, 2, 1))
     return spark.read.parquet(f"{root}/bronze").select("source_id", "text")
+
+
+@R.add(f"SELECT CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'cold' ELSE 'hot' END AS tier, ts::DATE AS day, count(*) AS n FROM events WHERE {IN_RANGE} GROUP BY 1, 2")
+def lake_tiers(spark, sf):
+    """Old days are moved to the cold tier, twice, and stay readable with the hot ones."""
+    root = scratch(spark, "lake")
+    recorded_run(spark, sf, root)
+    for before in (dt.date(2024, 1, 6), dt.date(2024, 1, 11)):
+        lake.tier(spark, f"{root}/bronze", f"{root}/cold", before)
+    rows = lake.both_tiers(spark, f"{root}/bronze", f"{root}/cold").where("source = 'reddit'")
+    return rows.groupBy("tier", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add(
+    """WITH e AS (SELECT event_type AS source, ts::DATE AS day, event_id AS id FROM events), d AS (SELECT source, day, count(*) AS of FROM e GROUP BY ALL),
+f AS (SELECT source, day, 'extra' AS field, 'new' AS change, 'boolean' AS kind, NULL AS expected, count(*) FILTER (WHERE id % 50 = 0) AS rows FROM e GROUP BY ALL
+UNION ALL SELECT source, day, 'size', 'retyped', CASE WHEN count(*) FILTER (WHERE id % 20 <> 0) = 0 THEN 'string' ELSE 'mixed' END, 'number', count(*) FROM e GROUP BY ALL HAVING count(*) FILTER (WHERE id % 20 = 0) > 0
+UNION ALL SELECT source, day, 'text', 'missing', CASE WHEN count(*) FILTER (WHERE id % 30 <> 0) > 0 THEN 'string' END, 'string', count(*) FILTER (WHERE id % 30 <> 0) FROM e GROUP BY ALL HAVING count(*) FILTER (WHERE id % 30 = 0) > 0
+UNION ALL SELECT source, day, 'gone', 'missing', NULL, 'string', 0 FROM e GROUP BY ALL)
+SELECT source, day, field, change, kind, expected, rows, of FROM f JOIN d USING (source, day) WHERE rows > 0 OR change <> 'new'"""
+)
+def schema_drift(spark, sf):
+    """Fields of the payloads of each source and day that are new, missing or hold something else than expected."""
+    events = table(spark, sf, "events")
+    odd = F.when(F.col("event_id") % 20 == 0, F.format_string('{"id": %d, "size": "large", "note": null}', "event_id")).otherwise(F.format_string('{"id": %d, "size": %s, "note": "n"}', "event_id", F.col("value").cast("string")))
+    more = F.concat(F.expr("substr({0}, 1, length({0}) - 1)".format("p")), F.when(F.col("event_id") % 50 == 0, F.lit(', "extra": true')).otherwise(""), F.when(F.col("event_id") % 30 != 0, F.lit(', "text": "t"')).otherwise(""), F.lit("}"))
+    rows = events.select(F.col("event_type").alias("source"), F.to_date("ts").alias("day"), "event_id", odd.alias("p")).select("source", "day", more.alias("payload"))
+    expected = events.select(F.col("event_type").alias("source")).distinct().select("source", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind")) for f, k in (("id", "number"), ("size", "number"), ("note", "string"), ("text", "string"), ("gone", "string"))))).alias("x")).select("source", "x.*")
+    return schemas.drift(schemas.fields(rows, ["source", "day"]), expected, ["source", "day"], "source")
+
+
+NORMAL = r"trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))".replace("\\\\", "\\")
+
+
+@R.add(
+    f"""WITH t AS (SELECT doc_id, list_filter(string_split({NORMAL}, ' '), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split({NORMAL}, ' '), lambda w: w <> '') AS ws FROM benchmark),
+n AS (SELECT words, min(code) AS code FROM (SELECT ws[:k] AS words, item_id::VARCHAR || '/' || len(ws[:k]) AS code FROM b, (VALUES (2), (3), (5)) v(k) WHERE len(ws) > 0) GROUP BY words),
+m AS (SELECT doc_id, p - 1 AS s, p - 1 + len(words) AS e, code FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM t), n WHERE ws[p] = words[1] AND ws[p:p + len(words) - 1] = words),
+g AS (SELECT doc_id, list({{'s': s, 'e': e, 'k': [code || '@' || s]}} ORDER BY s, e DESC) AS l FROM m GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_reduce(l, lambda a, x: CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'k': list_concat(a.k, x.k)}} ELSE a END).k, ',') AS entities FROM g"""
+)
+def dictionary_entities(spark, sf):
+    """Names (the first two, three and five words of benchmark items) in all documents: leftmost, longest, without overlaps."""
+    ws = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    items = table(spark, sf, "benchmark").select("item_id", ws.alias("ws")).select("item_id", F.explode(F.transform(F.array(F.lit(2), F.lit(3), F.lit(5)), lambda k: F.slice("ws", F.lit(1), k))).alias("w"))
+    names = items.select(F.array_join("w", " ").alias("name"), F.concat_ws("/", F.col("item_id").cast("string"), F.size("w").cast("string")).alias("code"))
+    found = extract.entities(table(spark, sf, "documents"), extract.dictionary(names), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.array_join(F.transform("entities", lambda e: F.concat(e["code"], F.lit("@"), e["start"].cast("string"))), ",").alias("entities"))
+
+
+@R.add(
+    f"""WITH w AS (SELECT page_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({TITLE}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS ws FROM pages),
+c AS (SELECT ws, min(page_id) AS id FROM w WHERE len(ws) > 0 GROUP BY ws),
+p AS (SELECT y.id AS b, max(len(list_intersect(x.ws, y.ws)) / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))) AS near FROM c x JOIN c y ON x.id < y.id GROUP BY y.id)
+SELECT page_id, round(CASE WHEN page_id <> id THEN 0 WHEN near >= 0.3 THEN 1 - near ELSE 1 END, 6) AS novelty FROM w JOIN c USING (ws) LEFT JOIN p ON b = id""".replace("\\\\", "\\")
+)
+def headline_novelty(spark, sf):
+    """How far each page's title is from all titles before it."""
+    titles = table(spark, sf, "pages").select("page_id", F.expr(TITLE).alias("title"))
+    return extract.novelty(titles, "page_id", "title", 0.3).select(F.col("id").alias("page_id"), F.round("novelty", 6).alias("novelty"))

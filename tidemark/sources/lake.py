@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
-from tidemark.operators.hygiene import latest_per_key
-from tidemark.session import dropped
+from tidemark.operators.hygiene import latest_per_key, union_sources
+from tidemark.session import dropped, written
 
 PARTITIONS = ("source", "year", "month", "day")
 
@@ -128,6 +128,45 @@ def expire(spark: SparkSession, root: str, before: dt.date) -> list[str]:
     return folders
 
 
+def tier(spark: SparkSession, root: str, cold: str, before: dt.date, keys: tuple[str, ...] = ("source_id",)) -> int:
+    """Move the days before ``before`` from ``root`` to ``cold``: sorted by ``keys``, few files a day; how many days.
+
+    Rows that a cold day already has stay. The new days are written aside first, then put in place partition by partition, and
+    only then the hot folders go: whatever happens in between, no row is lost, and running it again ends in the same table.
+    """
+    old = F.make_date("year", "month", "day") < F.lit(before)
+    rows = spark.read.parquet(root).where(old)
+    days = rows.select(*PARTITIONS).distinct()
+    n = days.count()  # folders
+    if not n:
+        return 0
+    if exists(spark, cold):
+        known = spark.read.parquet(cold).join(F.broadcast(days), list(PARTITIONS), "left_semi")  # one row for each folder
+        rows = _once(rows.unionByName(known, allowMissingColumns=True), keys)
+    aside = written(rows.repartitionByRange(*PARTITIONS, *keys).sortWithinPartitions(*PARTITIONS, *keys), "cold")
+    aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(cold)
+    expire(spark, root, before)
+    return n
+
+
+def _once(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Equal rows once: a move that was stopped half-way leaves a day in both tiers. Told apart by a digest, as maps cannot be compared."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
+    best = rows.withColumn("digest_", digest).groupBy(*PARTITIONS, *keys, "digest_").agg(F.first(F.struct(*(c for c in rows.columns if c not in (*PARTITIONS, *keys)))).alias("x_"))
+    return best.select(*PARTITIONS, *keys, "x_.*").select(*rows.columns)
+
+
+def both_tiers(spark: SparkSession, root: str, cold: str) -> DataFrame:
+    """Rows of both tiers, with ``tier``."""
+    parts = [spark.read.parquet(p).withColumn("tier", F.lit(name)) for name, p in (("hot", root), ("cold", cold)) if exists(spark, p)]
+    return union_sources(*parts)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def bronze(spark: SparkSession, root: str, source: str | None = None, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
     """Bronze rows, one for each key; source and days prune partitions."""
     rows = spark.read.parquet(f"{root}/bronze")
