@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, extract, schemas, similar
 from tidemark.plans.registry import Registry
-from tidemark.plans.runs import CATALOGUE, EPOCH, IN_RANGE, ISO, REDDIT, payloads, recorded_run, scratch, streamed
-from tidemark.session import table
+from tidemark.plans.runs import CATALOGUE, EPOCH, IN_RANGE, ISO, REDDIT, payloads, recorded_run, streamed
+from tidemark.session import scratch, table
 from tidemark.sources import ingest, lake, schedule, sink
 from tidemark.streaming import late, subscriptions
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import hygiene, normalize
 from tidemark.plans.registry import Registry
-from tidemark.session import shared_folder, table
+from tidemark.session import scratch, table
 from tidemark.sources import ingest, lake
 from tidemark.sources.payloads import parsed
 from tidemark.streaming import features as streams
@@ -22,11 +21,6 @@ EPOCH = "unix_timestamp(cast(ts as timestamp))"
 ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
 
-def scratch(spark, label):
-    """A new folder on the shared storage."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def payloads(rows, *fields):
     """Rows as payloads: one JSON object each, absent keys where a field is null."""
     return rows.select(F.to_json(F.expr(f"struct({', '.join(fields)})")).alias("payload"))

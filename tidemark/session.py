@@ -66,14 +66,19 @@ def dropped(spark: SparkSession, path: str) -> None:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder on the shared storage, for an intermediate; ``forget_all`` deletes it."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
     and a lost executor costs only a new read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
