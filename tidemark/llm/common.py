@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import dropped, send_package, shared_folder
+from tidemark.session import _WRITTEN, forget, send_package, written  # noqa: F401  the operators take them from here
+from tidemark.session import forget_all as forget_folders
 
 #: Rows in one Arrow batch that a Python task receives. Texts may be long, so it is far below Spark's default.
 ROWS_PER_BATCH = 512
-#: Folders and catalogue tables that an application has written.
-_WRITTEN: dict[str, list[str]] = {}
+#: Catalogue tables that an application has written.
 _TABLES: dict[str, list[str]] = {}
 
 
@@ -24,29 +23,9 @@ def small_batches(spark: SparkSession) -> None:
     send_package(spark)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
-    and a lost executor costs only a new read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete an intermediate table whose successor is written. Not for results: they are read lazily."""
-    spark, own = df.sparkSession, _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
-    names = {f.split("/")[-2] for f in df.inputFiles()}
-    for path in [p for p in own if p.rsplit("/", 1)[-1] in names]:
-        dropped(spark, path)
-        own.remove(path)
-
-
 def forget_all(spark: SparkSession) -> None:
     """Delete every intermediate table of this application, once its results are written elsewhere."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        dropped(spark, path)
+    forget_folders(spark)
     for name in _TABLES.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 

@@ -7,7 +7,7 @@ whether a heading does. A bidirectional LSTM in numpy reads the blocks in order
 each as main text or not, so every decision sees the whole page. The labeller is trained
 on generated pages (see ``training_pages``), with a fixed seed: their main text lies in
 containers with telling, foreign, cut or meaningless names, under 0 to some 40 wrappers,
-and holds links. Its weights are kept in the shared folder under a hash of this module.
+and holds links. Its weights are kept in the warehouse folder under a hash of this module.
 
 Edge cases: a null or empty page, or one without main text, gives the empty text;
 unclosed tags, comments and scripts end with the page; white space is one space,
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches, small_batches, texts_of
-from tidemark.session import shared_folder
 
 #: Elements that start a new block, elements without content, elements whose content is not text.
 BLOCKS = frozenset(
@@ -448,12 +447,12 @@ def trained(pages: int = 2400, epochs: int = 7, batch: int = 50, seed: int = 3)
 
 
 def kept(spark: SparkSession) -> Labeller:
-    """The trained labeller; its weights stay in the shared folder for later sessions of the same module."""
+    """The trained labeller; its weights stay in the warehouse folder for later sessions of the same module."""
     import inspect
     import sys
 
     mark = hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:24]
-    path = f"{shared_folder(spark)}/models/main-text-{mark}"
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-models/main-text-{mark}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
