@@ -82,6 +82,30 @@ def weak_post(text: Column | str, least_words: int = 4, most_repeated: float = 0
     return (F.size(words) < least_words) | bare | (F.coalesce(repeated, F.lit(1.0)) > most_repeated) | c.rlike(r"^\s*(RT|via) @") | c.rlike(r"^[\s$A-Z.]*$")
 
 
+def template(text: Column | str) -> Column:
+    """What a post has in common with others made from the same template: addresses, names, tickers and numbers masked."""
+    c = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    for pattern, mask in ((r"https?://\S+", " u "), (r"[@#$][\p{L}\p{N}_]+", " n "), (r"[0-9]+([.,][0-9]+)*", " 0 ")):
+        c = F.regexp_replace(c, pattern, mask)
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+
+
+def without_templates(posts: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
+    """Without posts whose template ``least`` posts or more have. Templates are counted before they meet the posts, so one that most posts have is one row."""
+    marked = posts.withColumn("template_", F.md5(template(text)))
+    often = marked.groupBy("template_").count().where(F.col("count") >= least).select("template_")
+    return marked.join(often, "template_", "left_anti").drop("template_")
+
+
+def spam(text: Column | str, most_links: int = 2, most_marks: float = 0.3) -> Column:
+    """Many links, a number to write to, or mostly signs and capitals."""
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    links = F.regexp_count(c, F.lit(r"https?://"))
+    marks = F.try_divide(F.length(F.regexp_replace(c, r"[^!?$*#%🚀💰]", "")).cast("double"), F.length(c).cast("double"))
+    invites = c.rlike(r"(?i)(whats\s?app|telegram|t\.me/|join (my|our) (group|channel)|dm me|guaranteed (profit|return))")
+    return (links > most_links) | invites | (F.coalesce(marks, F.lit(0.0)) > most_marks)
+
+
 def keep_valuable(posts: DataFrame, text: str = "text", likes: str | None = None, least_likes: int = 1) -> DataFrame:
     """Without weak posts; interaction counts only where they exist."""
     kept = posts.where(~F.coalesce(weak_post(text), F.lit(True)))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, extract, schemas, similar
+from tidemark.operators import alerts, extract, features, hygiene, schemas, similar
 from tidemark.plans.registry import Registry
 from tidemark.plans.runs import CATALOGUE, EPOCH, IN_RANGE, ISO, REDDIT, payloads, recorded_run, streamed
 from tidemark.session import scratch, table
@@ -215,3 +215,67 @@ def headline_novelty(spark, sf):
     """How far each page's title is from all titles before it."""
     titles = table(spark, sf, "pages").select("page_id", F.expr(TITLE).alias("title"))
     return extract.novelty(titles, "page_id", "title", 0.3).select(F.col("id").alias("page_id"), F.round("novelty", 6).alias("novelty"))
+
+
+@R.add(f"SELECT event_id::VARCHAR AS source_id FROM events WHERE {IN_RANGE} AND date_trunc('second', ts) > TIMESTAMP '2024-01-13'")
+def lake_bronze_filters(spark, sf):
+    """Rows with a tag, of the week up to the 20th."""
+    root = scratch(spark, "lake")
+    recorded_run(spark, sf, root)
+    return lake.bronze(spark, root, category="tag", timeframe="7d", now=dt.datetime(2024, 1, 20)).select("source_id")
+
+
+@R.add(
+    r"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), 'https?://\S+', ' u ', 'g'), '[@#$][\p{L}\p{N}_]+', ' n ', 'g'), '[0-9]+([.,][0-9]+)*', ' 0 ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS p FROM conversations),
+n AS (SELECT *, count(*) OVER (PARTITION BY p) AS c FROM t)
+SELECT conv_id, turn FROM n WHERE c < 3 AND NOT (regexp_matches(coalesce(text, ''), '(?i)(whats\s?app|telegram|t\.me/|join (my|our) (group|channel)|dm me|guaranteed (profit|return))')
+  OR len(regexp_extract_all(coalesce(text, ''), 'https?://')) > 2 OR coalesce(length(regexp_replace(coalesce(text, ''), '[^!?$*#%🚀💰]', '', 'g'))::DOUBLE / nullif(length(coalesce(text, '')), 0), 0) > 0.3)"""
+)
+def posts_without_spam(spark, sf):
+    """Posts that are no spam and whose template fewer than three posts have."""
+    rows = hygiene.without_templates(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    return rows.where(~hygiene.spam("text")).select("conv_id", "turn")
+
+
+@R.add("SELECT event_id, event_type, user_id FROM events")
+def lake_strict_json(spark, sf):
+    """Every line of the files parses to the given columns."""
+    path = scratch(spark, "strict")
+    table(spark, sf, "events").select("event_id", "event_type", "user_id").write.json(path)
+    return lake.strict_json(spark, path, "event_id bigint, event_type string, user_id bigint")
+
+
+@R.add("SELECT n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey % 5 <> 0")
+def lake_tolerant_json(spark, sf):
+    """One object in each file; every fifth is broken and left out."""
+    path = scratch(spark, "tolerant")
+    said = F.when(F.col("n_nationkey") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("n_name", "n_regionkey")))
+    table(spark, sf, "nation").select("n_nationkey", said.alias("value")).repartition(25, "n_nationkey").select("n_nationkey", "value").write.partitionBy("n_nationkey").text(path)
+    found = lake.tolerant_json(spark, f"{path}/*/*.txt")
+    return found.select(F.try_variant_get("value", "$.n_name", "string").alias("name"), F.try_variant_get("value", "$.n_regionkey", "bigint").alias("region"))
+
+
+@R.add("SELECT 'user_' || user_id AS entity, arg_max(value, (ts, event_id)) AS latest_score, count(*) AS mention_count, true AS written, false AS empty_written FROM events GROUP BY user_id")
+def feature_table_created(spark, sf):
+    """The feature table as DDL makes it, filled and read back; nothing is written where there is nothing to write."""
+    name, path = f"features_{scratch(spark, 'ddl').rsplit('-', 1)[-1]}", scratch(spark, "features")
+    new = features.latest_features(features.mentions(table(spark, sf, "events")))
+    lake.create_feature_table(spark, name)
+    new.select("entity", "latest_score", "mention_count", F.col("updated_at").cast("timestamp").alias("updated_at")).write.insertInto(name)
+    done, nothing = lake.write_if_rows(spark.table(name), path), lake.write_if_rows(new.where("false"), f"{path}-none")
+    spark.sql(f"DROP TABLE {name}")
+    rows = spark.read.parquet(path)
+    return rows.select("entity", "latest_score", "mention_count", F.lit(done).alias("written"), F.lit(nothing).alias("empty_written"))
+
+
+@R.add("SELECT n_name AS connector, n_regionkey::VARCHAR AS \"limit\", 'true' AS dry_run, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS sub_reddit FROM nation")
+def run_arguments(spark, sf):
+    """Arguments of a run for every nation, as the command line gives them."""
+    from tidemark.sources.registry import parse_arguments
+
+    out = []
+    for r in table(spark, sf, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        line = ["--connector", r.n_name, f"--limit={r.n_regionkey}", "--dry-run", *(["--sub-reddit", r.n_name] if r.n_nationkey % 2 == 0 else [])]
+        got = parse_arguments(line)
+        out.append((got["connector"], got["limit"], got["dry_run"], got.get("sub_reddit")))
+    return spark.createDataFrame(out, "connector string, limit string, dry_run string, sub_reddit string")

@@ -68,10 +68,9 @@ def plain_numbers(spark, sf):
     return table(spark, sf, "events").select("event_id", scalars.plain_numbers(stored).alias("plain"))
 
 
-@R.add("SELECT page_id, replace(replace(replace(replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '?', '%3F'), '=', '%3D'), '&', '%26'), '#', '%23') AS encoded FROM pages WHERE regexp_full_match(url, '[A-Za-z0-9:/?=&#._-]*')")
+@R.add("SELECT page_id, replace(replace(replace(url_encode(url), '%20', '+'), '~', '%7E'), '%2A', '*') AS encoded FROM pages")
 def url_encoded(spark, sf):
-    pages = table(spark, sf, "pages").where(F.col("url").rlike("^[A-Za-z0-9:/?=&#._-]*$"))
-    return pages.select("page_id", scalars.encoded(F.col("url")).alias("encoded"))
+    return table(spark, sf, "pages").select("page_id", scalars.encoded(F.col("url")).alias("encoded"))
 
 
 @R.add(
@@ -272,11 +271,11 @@ def risk_matrix(spark, sf):
     return ratios.risk_matrix(rows).select("doc_id", "probability_level", "impact_level", F.round("weight", 6).alias("weight"))
 
 
-HELD = "h AS (SELECT c_nationkey AS holder, year(o_orderdate)::INTEGER AS year, o_orderpriority AS asset, sum(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 < 4 GROUP BY 1, 2, 3), wt AS (SELECT *, amount / sum(amount) OVER (PARTITION BY holder, year) AS w FROM h)"
+HELD = "h AS (SELECT c_nationkey AS holder, year(o_orderdate)::INTEGER AS year, o_orderpriority AS asset, sum(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3), wt AS (SELECT *, amount / sum(amount) OVER (PARTITION BY holder, year) AS w FROM h)"
 
 
 def weights(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderkey % 11 < 4").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     rows = orders.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     held = rows.groupBy(F.col("c_nationkey").alias("holder"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("asset")).agg(F.sum("o_totalprice").alias("amount"))
     return held.withColumn("w", F.col("amount") / F.sum("amount").over(W.partitionBy("holder", "year")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -167,9 +168,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def bronze(spark: SparkSession, root: str, source: str | None = None, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
-    """Bronze rows, one for each key; source and days prune partitions."""
+def bronze(spark: SparkSession, root: str, source: str | None = None, since: dt.date | None = None, until: dt.date | None = None, category: str | None = None, confidence: float | None = None, timeframe: str | None = None, now: dt.datetime | None = None) -> DataFrame:
+    """Bronze rows, one for each key; source and days prune partitions.
+
+    ``category`` and ``confidence``: rows with an entity of that type, and at least that sure; ``timeframe``
+    (like ``24h``, ``7d``) the time up to ``now``.
+    """
     rows = spark.read.parquet(f"{root}/bronze")
+    if category or confidence is not None:
+        rows = rows.where(F.exists("entities", lambda e: (F.lit(category is None) | (e["type"] == (category or ""))) & (F.lit(confidence is None) | (e["confidence"] >= (confidence or 0.0)))))
+    if timeframe:
+        size = re.fullmatch(r"([0-9]+)([hdw])", timeframe.strip().lower())
+        if size is None or now is None:
+            raise ValueError(f"no such timeframe, or no now for it: {timeframe}")
+        first = now - dt.timedelta(hours=int(size[1]) * {"h": 1, "d": 24, "w": 168}[size[2]])
+        since = max(d for d in (since, first.date()) if d is not None)
+        rows = rows.where((F.col("ts") > F.lit(first).cast("timestamp")) & (F.col("ts") <= F.lit(now).cast("timestamp")))
     if source:
         rows = rows.where(F.col("source") == source)
     if since:
