@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import similar
+from tidemark.operators import hygiene, similar
 from tidemark.sources import ingest, lake
 from tidemark.streaming import late, subscriptions
 
@@ -106,3 +106,24 @@ def test_lists_and_second_endpoints(spark, tmp_path):
     assert ingest.endpoint(spark, str(tmp_path), "threads").count() == 1
     with pytest.raises(FileNotFoundError):
         ingest.endpoint(spark, str(tmp_path), "reddit")
+
+
+def test_spam_and_templates(spark):
+    rows = [(k, f"Win {k * 10}.5 coins at https://x{k}.io with @user{k}!") for k in range(4)] + [(10, "a calm and quite ordinary post"), (11, None), (12, "join my group on Telegram"), (13, "!!! $$$ %%% !!!"), (14, "see https://a https://b https://c"), (15, "two of a kind 1"), (16, "two of a kind 2")]
+    posts = spark.createDataFrame(rows, "id int, text string")
+    assert sorted(r.id for r in hygiene.without_templates(posts).collect()) == list(range(10, 17))
+    assert sorted(r.id for r in posts.where(hygiene.spam("text")).collect()) == [12, 13, 14]
+    assert hygiene.without_templates(posts.where("false")).count() == 0
+
+
+def test_lake_filters(spark, tmp_path):
+    now = dt.datetime(2024, 1, 10, 12)
+    entity = F.array(F.struct(F.lit("tag").alias("type"), F.lit("x").alias("value"), (F.col("id") / 10).alias("confidence")))
+    rows = spark.range(10).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("source_id"), F.expr("timestamp'2024-01-10 12:00:00' - make_interval(0, 0, 0, 0, cast(id * 12 as int))").alias("ts"), F.when(F.col("id") != 9, entity).alias("entities"), F.struct(F.current_timestamp().alias("ingest_ts")).alias("provenance"))
+    lake.write_raw_and_bronze(rows, str(tmp_path))
+    ids = lambda **k: sorted(int(r.source_id) for r in lake.bronze(spark, str(tmp_path), **k).collect())
+    assert ids(category="tag") == list(range(9)) and ids(category="brand") == [] and ids(confidence=0.5) == [5, 6, 7, 8]
+    assert ids(timeframe="24h", now=now) == [0, 1] and ids(timeframe="2d", now=now, since=dt.date(2024, 1, 9)) == [0, 1, 2, 3]
+    for bad in ({"timeframe": "soon", "now": now}, {"timeframe": "1d"}):
+        with pytest.raises(ValueError):
+            ids(**bad)
