@@ -23,7 +23,7 @@ def _hours(rows: DataFrame) -> DataFrame:
 
 def _put(rows: DataFrame, path: str) -> None:
     """Overwrite the hours that ``rows`` has, and no others."""
-    rows.withColumn("hour", F.hour("start")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hour").parquet(path)
+    rows.withColumn("hour", F.hour("start")).repartition("day", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hour").parquet(path)
 
 
 def _of(spark: SparkSession, root: str, ddl: str) -> DataFrame:
