@@ -9,10 +9,12 @@ nothing twice.
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,9 +29,13 @@ PARTIAL = "entity string, score double, n bigint, id bigint, ts timestamp"
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 
 
-def with_state_store(spark: SparkSession) -> None:
-    """Stateful operators of this session keep their state in RocksDB; processors come with the package."""
+def with_state_store(spark: SparkSession, module: str = __name__) -> None:
+    """Stateful operators of this session keep their state in RocksDB.
+
+    Processors of ``module`` travel by value: the driver's own Python process for streams has no package to import them from.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    cloudpickle.register_pickle_by_value(sys.modules[module])
     send_package(spark)
 
 

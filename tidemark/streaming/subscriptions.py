@@ -56,7 +56,7 @@ def fire(scores: DataFrame, subscriptions: DataFrame, root: str, checkpoint: str
 
     ``subscriptions``: ``rule_id, entity`` (null: all), ``threshold``. Only scores that reach a rule's threshold go to its state.
     """
-    with_state_store(scores.sparkSession)
+    with_state_store(scores.sparkSession, __name__)
     sound = scores.where("entity IS NOT NULL AND ts IS NOT NULL").select("entity", F.col("score").cast("double"), F.col("ts").cast("timestamp"))
     fires = F.col("score") >= F.col("threshold")
     named = sound.join(subscriptions.where("entity IS NOT NULL"), "entity").where(fires)
