@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,10 +48,15 @@ def accuracy(calls: DataFrame, by: str = "analyst") -> DataFrame:
     )
 
 
+def slope(y: str, x: str) -> Column:
+    """Slope of ``y`` over ``x``; 0 where what is left of it is rounding, whose sign changes with the order of the rows."""
+    return F.when(F.abs(F.corr(y, x)) < 1e-12, F.lit(0.0)).otherwise(F.regr_slope(y, x))
+
+
 def trends_apart(rows: DataFrame, by: str, x: str, rising: str, other: str, flat: float | None = None) -> DataFrame:
     """Groups where ``rising`` has a positive slope over ``x`` while ``other`` falls, or stays within
     ``flat`` (share of its mean a step)."""
-    slopes = rows.groupBy(by).agg(F.regr_slope(rising, x).alias("rising_slope"), F.regr_slope(other, x).alias("other_slope"), F.avg(other).alias("other_mean"))
+    slopes = rows.groupBy(by).agg(slope(rising, x).alias("rising_slope"), slope(other, x).alias("other_slope"), F.avg(other).alias("other_mean"))
     calm = F.col("other_slope") < 0 if flat is None else F.abs(F.try_divide("other_slope", "other_mean")) <= flat
     return slopes.where((F.col("rising_slope") > 0) & calm)
 
