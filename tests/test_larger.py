@@ -7,9 +7,11 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.operators import portfolio
 from tidemark.plans import runs
 from tidemark.sources import ingest
+from tidemark.streaming import state, subscriptions
 
 
 def test_a_slope_of_zero_neither_rises_nor_falls(spark):
@@ -45,3 +47,17 @@ def test_a_run_takes_all_that_is_there(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "newest", lambda rows, limit, skip=0: rows.limit(10))
     want = spark.read.parquet(f"{sf}/events.parquet").where("date_trunc('second', ts) BETWEEN '2024-01-01' AND '2024-01-20'").count()
     assert [(r.connector, r["items"]) for r in runs.R.queries["ingest_run"](spark, sf).collect()] == [("Reddit", want), ("stackoverflow", want), ("youtube", 0)]
+
+
+def test_states_of_many_keys_cost_no_call_to_python(spark, sf):
+    """Features that never expire and rules that never cool down run in Spark's own operators, each run in one batch."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder = session.scratch(spark, "stream")
+    events.repartition(5).write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    rules = spark.createDataFrame([("all", None, 50.0)], "rule_id string, entity string, threshold double")
+    scores = stream.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity"), F.col("value").alias("score"), "ts")
+    for q in (state.keep_features(stream, session.scratch(spark, "out"), session.scratch(spark, "cp")), subscriptions.fire(scores, rules, session.scratch(spark, "out"), session.scratch(spark, "cp"))):
+        q.awaitTermination(120)
+        assert "InPandas" not in q._jsq.explainInternal(True) and "InArrow" not in q._jsq.explainInternal(True)
+        assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 1

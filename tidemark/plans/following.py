@@ -57,8 +57,8 @@ def fired(spark, sf):
     named = table(spark, sf, "nation").select(F.col("n_name").alias("rule_id"), F.concat(F.lit("user_"), F.col("n_nationkey").cast("string")).alias("entity"), (F.col("n_regionkey") * 10.0 + 20).alias("threshold"))
     for_all = table(spark, sf, "region").select(F.col("r_name").alias("rule_id"), F.lit(None).cast("string").alias("entity"), (F.col("r_regionkey") * 20.0 + 60).alias("threshold"))
     for _ in range(2):
-        events.coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        events.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)  # one batch a run, however many files
         scores = stream.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity"), F.col("value").alias("score"), "ts")
         subscriptions.fire(scores, named.unionByName(for_all), root, checkpoint).awaitTermination()
     return root

@@ -20,9 +20,9 @@ PERIODS = {"daily": (1, 0), "weekly": (7, 4)}
 
 
 class Rule(StatefulProcessor):
-    """The last time a rule fired for an entity; it fires again after ``cooldown_ms``, or never again if that is None."""
+    """The last time a rule fired for an entity; it fires again after ``cooldown_ms``."""
 
-    def __init__(self, cooldown_ms: int | None) -> None:
+    def __init__(self, cooldown_ms: int) -> None:
         self.cooldown_ms = cooldown_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -35,8 +35,6 @@ class Rule(StatefulProcessor):
         last, picked, at = None if old is None else old[0], [], 0
         while at < len(times):
             if last is not None:
-                if self.cooldown_ms is None:
-                    break
                 at = max(at, int(times.searchsorted(last + self.cooldown_ms)))
                 if at >= len(times):
                     break
@@ -51,6 +49,16 @@ class Rule(StatefulProcessor):
         pass
 
 
+def first_only(reached: DataFrame, root: str, number: int) -> DataFrame:
+    """The first score of each rule and entity of a batch that did not fire in an earlier one: the alerts are their own state."""
+    spark, at = reached.sparkSession, F.struct("ts", "score", "threshold")
+    first = reached.groupBy("rule_id", "entity").agg(F.min(at).alias("x"))
+    if number and _exists(spark, root):
+        before = alerts(spark, root).where(F.col("batch") < number).select(F.col("rule_id").alias("rule_"), F.col("entity").alias("entity_"))
+        first = first.join(before, F.col("rule_id").eqNullSafe(F.col("rule_")) & (F.col("entity") == F.col("entity_")), "left_anti")
+    return first.select("rule_id", "entity", "x.score", "x.threshold", F.col("x.ts").alias("fired_at"))
+
+
 def fire(scores: DataFrame, subscriptions: DataFrame, root: str, checkpoint: str, cooldown: dt.timedelta | None = None) -> StreamingQuery:
     """Alerts of a stream of ``entity, score, ts`` under ``root``, by batch; a replayed batch overwrites its own alerts.
 
@@ -62,11 +70,13 @@ def fire(scores: DataFrame, subscriptions: DataFrame, root: str, checkpoint: str
     named = sound.join(subscriptions.where("entity IS NOT NULL"), "entity").where(fires)
     for_all = sound.join(subscriptions.where("entity IS NULL").drop("entity"), fires)
     reached = named.unionByName(for_all).select("rule_id", "entity", "score", "threshold", "ts")
-    ms = None if cooldown is None else int(cooldown.total_seconds() * 1000)
-    fired = reached.groupBy("rule_id", "entity").transformWithStateInPandas(Rule(ms), FIRED, "Append", "None")
+    fired = reached
+    if cooldown is not None:
+        fired = reached.groupBy("rule_id", "entity").transformWithStateInPandas(Rule(int(cooldown.total_seconds() * 1000)), FIRED, "Append", "None")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        new = batch if cooldown is not None else first_only(batch, root, number)
+        new.write.mode("overwrite").parquet(f"{root}/batch={number}")
 
     return fired.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -97,8 +107,12 @@ def _digests(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("rule_id string, alerts bigint, highest double, entities array<string>, period_start date").parquet(out)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def _sent(spark: SparkSession, out: str) -> set:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not _exists(spark, out):
         return set()
     return {r.period_start for r in _digests(spark, out).select("period_start").distinct().collect()}
