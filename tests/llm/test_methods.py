@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import tables
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -214,3 +215,24 @@ def test_long_labelled_texts_are_learned_from(spark):
     labels = docs.selectExpr("doc_id", "int(doc_id < 10) as quality")
     scores = {r.doc_id: r.score for r in line_crf.add_score(docs, line_crf.fit(docs, labels)).collect()}
     assert min(scores[i] for i in range(10)) > 0.9 and max(scores[i] for i in range(10, 20)) < 0.1
+
+
+def test_shingles_of_a_batch_are_those_of_each_text_and_a_word_is_hashed_once(monkeypatch):
+    r, hashed, plain = random.Random(7), [], xxhash.xxh3_64_intdigest
+    texts = ["", " \n", " one", "one two ", "a B c d", "A b C d E", "漢字 é\x1cx a\x0bb É\x85 c d\x00 e　f"] + [" ".join(r.choices("ab cd EF gh \n \t".split(" "), k=r.randint(0, 40))) for _ in range(300)]
+
+    def shingles(text):
+        h = [plain(w) for w in text.encode().lower().split()]
+        out, k = set(), min(5, len(h))
+        for at in range(len(h) - k + 1 if h else 0):
+            total = np.full(1, k, np.uint64)
+            for x in h[at : at + k]:
+                with np.errstate(over="ignore"):
+                    total = common.mix64(total * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x))
+            out.add(int(total[0]))
+        return sorted(out)
+
+    monkeypatch.setattr(minhash.xxhash, "xxh3_64_intdigest", lambda w: (hashed.append(w), plain(w))[1])
+    elements, bounds = minhash.shingle_sets(texts)
+    assert [elements[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [shingles(t) for t in texts]
+    assert sorted(hashed) == sorted({w for t in texts for w in t.encode().lower().split()})

@@ -28,52 +28,54 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _TABLES, _WRITTEN, Numbers, batches, forget, mix64, small_batches, texts_of, unused, written
+from tidemark.llm.common import _TABLES, _WRITTEN, batches, forget, mix64, small_batches, texts_of, unused, written
 from tidemark.session import shared_folder
 
 WIDTH, COORDINATES, ROWS = 5, 125, 5
-CACHE = 1 << 20
 UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class WordHashes:
-    """64-bit hashes of words, cached over the batches of a worker."""
+def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of a batch of texts, one text after the other, and the bounds of each.
 
-    def __init__(self) -> None:
-        self.numbers, self.hashes = Numbers(), np.zeros(1 << 12, np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > CACHE:
-            self.numbers = Numbers()
-        known = len(self.numbers)
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        while len(self.numbers) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        fresh = list(islice(reversed(self.numbers), len(self.numbers) - known))
-        self.hashes[known : len(self.numbers)] = [xxhash.xxh3_64_intdigest(w) for w in reversed(fresh)]
-        return self.hashes[ids]
-
-
-def shingles(text: str, words: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    h = words.of(text.encode().lower().split())
-    k = min(width, len(h))
-    if not k:
-        return h
-    with np.errstate(over="ignore"):
-        total = np.full(len(h) - k + 1, k, np.uint64)
+    Arrow splits and numbers the words of the whole batch, so Python sees each different word once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    words = split.flatten()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at either end leaves an empty word
+    n = np.diff(np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()])
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+    h = hashes[coded.indices.to_numpy()]
+
+    begin, size = np.cumsum(n) - n, np.where(n < width, np.minimum(n, 1), n - width + 1)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(bounds[-1], np.uint64)
+    for k in range(1, width + 1):  # texts of fewer words have one shingle, the whole sequence
+        mine = np.flatnonzero(n >= k if k == width else n == k)
+        inside = np.arange(size[mine].sum()) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+        at = np.repeat(begin[mine], size[mine]) + inside
+        total = np.full(len(at), k, np.uint64)
         for j in range(k):
-            total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
-    return np.unique(total)
+            with np.errstate(over="ignore"):
+                total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + h[at + j])
+        out[np.repeat(bounds[mine], size[mine]) + inside] = total
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out[first:last].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][size > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def sketches(elements: np.ndarray, bounds: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -130,19 +132,16 @@ def described(docs: DataFrame, percent: int = 85) -> DataFrame:
     depth = rows_of_bands(percent)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for b in batches(rows):
-            sets = [shingles(t, words) for t in texts_of(b.column(1))]
-            prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            full = [s for s in sets if len(s)]
-            bounds = np.cumsum([0] + [len(s) for s in full])
-            keys = iter(band_keys(sketches(np.concatenate(full), bounds), depth) if full else ())
-            bands = [next(keys).tolist() if len(s) else None for s in sets]
-            half = [np.array([p >> shift & 0xFFFFFFFFFFFFFFFF for p in prints], np.uint64).view(np.int64) for shift in (64, 0)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(half[0]), pa.array(half[1]), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "print_hi", "print_lo", "bands"],
-            )
+            elements, bounds = shingle_sets(texts_of(b.column(1)))
+            size = np.diff(bounds)
+            prints = b"".join(xxhash.xxh3_128_digest(elements[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            half = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2).T
+            full = size > 0
+            keys = band_keys(sketches(elements, np.concatenate([[0], bounds[1:][full]])), depth) if full.any() else np.zeros((0, 0), np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(full * keys.shape[1])]), pa.int32())
+            bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(~full))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(half[0].copy()), pa.array(half[1].copy()), bands], ["doc_id", "n_shingles", "print_hi", "print_lo", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print_hi long, print_lo long, bands array<long>")
 
@@ -181,12 +180,10 @@ def with_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n, items``: the sets themselves, for documents that are to be compared."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for b in batches(rows):
-            sets = [shingles(t, words).view(np.int64) for t in texts_of(b.column(1))]
-            offsets = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
-            items = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), items], ["doc_id", "n", "items"])
+            elements, bounds = shingle_sets(texts_of(b.column(1)))
+            items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(elements.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), items], ["doc_id", "n", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, items array<long>")
 
