@@ -18,7 +18,7 @@ the documents pass through, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,23 +172,27 @@ def built(block: list[tuple[str, str]], window: int) -> Automaton:
     return _BUILT[key]
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time, and whether it is the last."""
     known = items.where(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        yield [(r.item, r.text) for r in known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
+        yield [(r.item, r.text) for r in known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()], k == blocks - 1
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 8_000_000, out: str = "hits_") -> DataFrame:
-    """All rows and columns of ``docs`` and the struct ``out`` (n_words, starts, ends, items): the stretches of hit words."""
+def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 8_000_000, out: str = "hits_", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` and the struct ``out`` (n_words, starts, ends, items): the stretches of hit words.
+
+    ``then`` turns a batch of that into one with the columns of ``docs``, in the same Python
+    worker: a second pass over Arrow would hold a second worker for each task.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(out, HITS)])
     kind = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
-    def one_pass(df: DataFrame, block: list[tuple[str, str]], first: bool) -> DataFrame:
+    def one_pass(df: DataFrame, block: list[tuple[str, str]], first: bool, then: Callable | None) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +208,14 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
                         spans, names = merged([*spans, *zip(old["starts"], old["ends"], strict=True)]), names | set(old["items"])
                     found.append({"n_words": len(split), "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": sorted(names)})
                 kept = b.columns if first else b.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], [*(f.name for f in schema.fields)])
+                hit = pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], [*(f.name for f in schema.fields)])
+                yield then(hit) if then else hit
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(run, docs.schema if then else schema)
 
     found, blocks = docs, 0
-    for block in item_blocks(items, block_bytes):
-        found = one_pass(found if blocks < 2 else written(found, "decontaminate"), block, blocks == 0)
+    for block, last in item_blocks(items, block_bytes):
+        found = one_pass(found if blocks < 2 else written(found, "decontaminate"), block, blocks == 0, then if last else None)
         blocks += 1
     return found
 
@@ -240,18 +245,16 @@ def cut_text(text: str, starts: list[int], ends: list[int]) -> str:
     return b"".join([*out, data[done:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8, block_bytes: int = 8_000_000) -> DataFrame:
     """The same columns; hit stretches are cut out of the texts and a document goes if more
     than ``max_coverage`` of its words are hit."""
-    found = find_hits(docs, items, window, out=unused(docs, "hits_"))
     at, columns = docs.columns.index("text"), docs.columns
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows):
-            hits = b.column(b.num_columns - 1).to_pylist()
-            share = np.array([sum(h["ends"]) - sum(h["starts"]) for h in hits]) / np.array([max(h["n_words"], 1) for h in hits])
-            texts = [t if not h["starts"] else cut_text(t, h["starts"], h["ends"]) for t, h in zip(b.column(at).to_pylist(), hits, strict=True)]
-            kept = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays(kept, columns).filter(pa.array(share <= max_coverage))
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        hits = b.column(b.num_columns - 1).to_pylist()
+        share = np.array([sum(h["ends"]) - sum(h["starts"]) for h in hits]) / np.array([max(h["n_words"], 1) for h in hits])
+        texts = [t if not h["starts"] else cut_text(t, h["starts"], h["ends"]) for t, h in zip(b.column(at).to_pylist(), hits, strict=True)]
+        kept = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1]]
+        return pa.RecordBatch.from_arrays(kept, columns).filter(pa.array(share <= max_coverage))
 
-    return found.mapInArrow(run, docs.schema)
+    return find_hits(docs, items, window, block_bytes, unused(docs, "hits_"), cut)

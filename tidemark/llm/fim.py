@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batches, small_batches, unused
+from tidemark.llm.common import batches, slices, small_batches, unused
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SLICE_BYTES = 8_000_000
@@ -58,16 +57,6 @@ def _connection():
     return duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
 
 
-def slices(text: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of stretches of rows with about ``most`` bytes of text; one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(ends):
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-        yield start, end - start
-        start = end
-
-
 def fill_in_middle(docs: DataFrame, rate: int = 50, spm: int = 80, seed: int = 42, ident: str = "doc_id", text: str = "text", marks: tuple[str, str, str] = (PREFIX, SUFFIX, MIDDLE), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All columns of ``docs`` and ``n`` (units), ``form`` (plain, psm, spm), ``prefix_chars``, ``middle_chars`` and ``output``.
 

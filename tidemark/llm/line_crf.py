@@ -12,22 +12,27 @@ their numbers, no texts, reach the driver. Scoring always reads whole texts.
 Edge cases: a null or empty text is one empty line and gets that line's marginal; without
 labelled documents every score is 0.5; very long texts are labelled whole; repeated rows score
 alike; an empty table gives an empty result. Only doc_id and text are read for scoring.
+
+A task holds the numbers of about ``SLICE_BYTES`` of text (or of one longer text) at a time
+and keeps no words, so its memory grows neither with the vocabulary nor with the texts of a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Numbers, batches, labelled_ids, small_batches, texts_of
+from tidemark.llm.common import batches, labelled_ids, slices, small_batches, texts_of
 
 MAX_DOCS, MAX_LINES = 3_000, 512
 FEATURES = 14
-CACHE = 1 << 20
+#: Bytes of text that are described at a time.
+SLICE_BYTES = 1 << 21
 
 
 def _classes() -> np.ndarray:
@@ -47,10 +52,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def line_features(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of all lines, line lengths in bytes, first line of each text and the end)."""
-    if len(numbers) > CACHE:
-        numbers.clear()
     data = [t.encode() for t in texts]
     blob = b"\n".join(data) + b"\n"
     a = np.frombuffer(blob, np.uint8)
@@ -65,17 +68,17 @@ def line_features(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.nd
     space = SPACE[a]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     line = np.searchsorted(ends, first)
-    ids = np.fromiter(map(numbers.__getitem__, blob.split()), np.int64, len(first))
+    words = blob.split()
+    same = np.fromiter(map(eq, words, words[1:]), bool, max(len(words) - 1, 0))
     n = np.bincount(line, minlength=len(ends)).astype(np.float64)
-    again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (line[1:] == line[:-1])]) if len(ids) else np.zeros(0, bool)
-    runs = np.bincount(line[again], minlength=len(ends))
+    runs = np.bincount(line[1:][same & (line[1:] == line[:-1])], minlength=len(ends))
     begins = np.where(size > 0, a[np.minimum(starts, len(a) - 1)], 0)
     closes = np.where(size > 0, a[np.maximum(ends - 1, 0)], 0)
-    per, words = np.maximum(size, 1), np.maximum(n, 1)
+    per, some = np.maximum(size, 1), np.maximum(n, 1)
     x = np.stack(
         [
-            np.log1p(size) / 8, n == 0, upper / np.maximum(upper + lower, 1), mark / per * 4, digit / per, high / per, bang / words, bar / words,
-            stop / words, runs / words, (size - n) / words / 16, n < 3, (begins >= 65) & (begins <= 90), np.isin(closes, list(b".!?")),
+            np.log1p(size) / 8, n == 0, upper / np.maximum(upper + lower, 1), mark / per * 4, digit / per, high / per, bang / some, bar / some,
+            stop / some, runs / some, (size - n) / some / 16, n < 3, (begins >= 65) & (begins <= 90), np.isin(closes, list(b".!?")),
         ],
         axis=1,
     ).astype(np.float64)
@@ -137,8 +140,8 @@ def train(x: np.ndarray, breaks: np.ndarray, y: np.ndarray, steps: int = 120, ra
     return theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
 
 
-def score_texts(texts: list[str], model: tuple[np.ndarray, np.ndarray], numbers: Numbers) -> np.ndarray:
-    x, size, breaks = line_features(texts, numbers)
+def score_texts(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    x, size, breaks = line_features(texts)
     p, _ = forward_backward(with_neighbours(x, breaks) @ model[0], model[1], breaks)
     weight = size + 1
     return np.add.reduceat(p[:, 1] * weight, breaks[:-1]) / np.add.reduceat(weight, breaks[:-1])
@@ -152,11 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, max_docs: int = MAX_DOCS
     rows = rows.select("text", F.col("value").cast("int").alias("y"))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for b in batches(it):
-            x, _, breaks = line_features(texts_of(b.column(0)), numbers)
-            found = [x[s : min(e, s + max_lines)].astype(np.float32).tobytes() for s, e in zip(breaks[:-1], breaks[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["x", "y"])
+        for whole in batches(it):
+            for start, length in slices(whole.column(0), SLICE_BYTES):
+                b = whole.slice(start, length)
+                x, _, breaks = line_features(texts_of(b.column(0)))
+                found = [x[s : min(e, s + max_lines)].astype(np.float32).tobytes() for s, e in zip(breaks[:-1], breaks[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["x", "y"])
 
     got = sorted((bytes(r.x), r.y) for r in rows.mapInArrow(describe, "x binary, y int").collect())
     if not got:
@@ -175,9 +179,8 @@ def add_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str =
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
         for b in batches(it):
-            values = score_texts(texts_of(b.column(at)), shared.value, numbers)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], [*b.schema.names, out])
+            parts = [score_texts(texts_of(b.column(at).slice(start, length)), shared.value) for start, length in slices(b.column(at), SLICE_BYTES)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts))], [*b.schema.names, out])
 
     return docs.mapInArrow(score, schema)
