@@ -236,3 +236,32 @@ def test_shingles_of_a_batch_are_those_of_each_text_and_a_word_is_hashed_once(mo
     elements, bounds = minhash.shingle_sets(texts)
     assert [elements[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [shingles(t) for t in texts]
     assert sorted(hashed) == sorted({w for t in texts for w in t.encode().lower().split()})
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"{r.getrandbits(64):x}" for _ in range(300)) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (400, texts[7])], "doc_id int, text string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        kept = sorted(minhash.deduplicate(docs).collect())
+        assert kept == [*enumerate(texts)] and shuffled(spark) - before < sum(map(len, texts)) / 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_a_full_bitmap_takes_no_document_away(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELLS", 3)
+    texts = [" ".join(f"w{k // 2 * 50 + i}" for i in range(40)) for k in range(60)]  # every text twice
+    rows = [*enumerate(texts), (None, texts[0]), (2, texts[2]), (8, "another text of this document")]
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(kept, key=str) == sorted([(k, t) for k, t in rows if k is None or k % 2 == 0][:-2] + [rows[-1]], key=str)

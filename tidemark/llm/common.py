@@ -61,6 +61,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def mix64_into(x: np.ndarray, spare: np.ndarray) -> None:
+    """``mix64`` in place; ``spare`` has the length of ``x``."""
+    for _ in range(2):
+        np.right_shift(x, np.uint64(32), out=spare)
+        x ^= spare
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(x, np.uint64(32), out=spare)
+    x ^= spare
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -38,19 +38,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _TABLES, _WRITTEN, batches, forget, mix64, small_batches, texts_of, unused, written
+from tidemark.llm.common import _TABLES, _WRITTEN, batches, forget, mix64, mix64_into, small_batches, unused, written
 from tidemark.session import shared_folder
 
 WIDTH, COORDINATES, ROWS = 5, 125, 5
-UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)
+UNFILLED, STEP = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
+#: Hashes that numpy works on at a time, so that they stay in a core's cache.
+BLOCK = 1 << 13
 
-def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+
+def runs(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each run of ``width`` neighbours in ``h``."""
+    out, spare = np.full(max(0, len(h) - width + 1), width, np.uint64), np.empty(BLOCK, np.uint64)
+    for start in range(0, len(out), BLOCK):
+        part = out[start : start + BLOCK]
+        for j in range(width):
+            part *= STEP
+            part += h[start + j : start + j + len(part)]
+            mix64_into(part, spare[: len(part)])
+    return out
+
+
+def shingle_sets(texts: list[str] | pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of a batch of texts, one text after the other, and the bounds of each.
 
     Arrow splits and numbers the words of the whole batch, so Python sees each different word once.
     """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()) if isinstance(texts, list) else pc.fill_null(texts.cast(pa.large_string()), "")))
     words = split.flatten()
     real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at either end leaves an empty word
     n = np.diff(np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()])
@@ -58,18 +73,19 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
     h = hashes[coded.indices.to_numpy()]
 
-    begin, size = np.cumsum(n) - n, np.where(n < width, np.minimum(n, 1), n - width + 1)
+    end, size = np.cumsum(n), np.where(n < width, np.minimum(n, 1), n - width + 1)
     bounds = np.concatenate([[0], np.cumsum(size)])
-    out = np.empty(bounds[-1], np.uint64)
-    for k in range(1, width + 1):  # texts of fewer words have one shingle, the whole sequence
-        mine = np.flatnonzero(n >= k if k == width else n == k)
-        inside = np.arange(size[mine].sum()) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-        at = np.repeat(begin[mine], size[mine]) + inside
-        total = np.full(len(at), k, np.uint64)
+    out, rest = np.empty(bounds[-1], np.uint64), np.ones(bounds[-1], bool)
+    for k in range(1, width):  # texts of fewer words have one shingle, the whole sequence
+        mine = np.flatnonzero(n == k)
+        total = np.full(len(mine), k, np.uint64)
         for j in range(k):
-            with np.errstate(over="ignore"):
-                total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + h[at + j])
-        out[np.repeat(bounds[mine], size[mine]) + inside] = total
+            total = mix64(total * STEP + h[end[mine] - k + j])
+        out[bounds[mine]], rest[bounds[mine]] = total, False
+    within = np.ones(len(h), bool)
+    for k in range(1, width):  # a run of words that starts with the last few of a text would reach into the next one
+        within[end[n >= k] - k] = False
+    out[rest] = runs(h, width)[within[: max(0, len(h) - width + 1)]]
     for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         out[first:last].sort()
     new = np.ones(len(out), bool)
@@ -80,33 +96,34 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
 
 def sketches(elements: np.ndarray, bounds: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """Fast similarity sketches of all sets of a batch, (sets, t). Sets must not be empty."""
-    size, n = np.diff(bounds), len(bounds) - 1
-    out = np.full((n, t), UNFILLED)
-    live = np.arange(n)
-    owner, e = np.repeat(live, size), elements
+    n = len(bounds) - 1
+    out = np.empty((n, t), np.uint64)
+    live, mine = np.arange(n), np.full((n, t), UNFILLED)  # sets with open places, and their places
+    owner, e = np.repeat(live, np.diff(bounds)), elements
+    spare = np.empty(BLOCK, np.uint64)
     for i in range(2 * t):
-        with np.errstate(over="ignore"):
-            h = mix64(e ^ np.uint64((0x632BE59BD9B4E019 * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
-        value = (h >> np.uint64(8)) | (np.uint64(i) << np.uint64(56))
+        salt, round_ = np.uint64((0x632BE59BD9B4E019 * (i + 1)) & 0xFFFFFFFFFFFFFFFF), np.uint64(i) << np.uint64(56)
         if i < t:
-            found = np.full(n * t, UNFILLED)
-            np.minimum.at(found, owner * t + (h % np.uint64(t)).astype(np.int64), value)
-            found = found.reshape(n, t)[live]
+            found = mine.reshape(-1)  # values of later rounds are larger, so places that are filled stay as they are
         else:
-            found = np.full((len(live), t), UNFILLED)
-            first = np.searchsorted(owner, live)
-            found[:, i - t] = np.minimum.reduceat(value, first)
-        mine = out[live]
-        out[live] = mine = np.where(mine == UNFILLED, found, mine)
+            found = mine[:, i - t].copy()
+        for start in range(0, len(e), BLOCK):
+            h = e[start : start + BLOCK] ^ salt
+            mix64_into(h, spare[: len(h)])
+            own = owner[start : start + BLOCK]
+            if i < t:
+                np.floor_divide(h, np.uint64(t), out=spare[: len(h)])  # numpy divides by a number faster than it takes a remainder
+                own = own * t + (h - spare[: len(h)] * np.uint64(t)).astype(np.int64)
+            np.minimum.at(found, own, (h >> np.uint64(8)) | round_)
+        if i >= t:
+            mine[:, i - t] = found
         open_ = (mine == UNFILLED).any(axis=1)
-        if not open_.any():
-            break
         if not open_.all():
-            stay = np.zeros(n, bool)
-            live = live[open_]
-            stay[live] = True
-            keep = stay[owner]
-            owner, e = owner[keep], e[keep]
+            out[live[~open_]] = mine[~open_]
+            if not open_.any():
+                break
+            live, mine, keep = live[open_], mine[open_], open_[owner]
+            owner, e = (np.cumsum(open_) - 1)[owner[keep]], e[keep]
     return out
 
 
@@ -122,7 +139,7 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     key = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for j in range(rows):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, j])
+            key = mix64(key * STEP + bands[:, :, j])
     return key.view(np.int64)
 
 
@@ -133,7 +150,7 @@ def described(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            elements, bounds = shingle_sets(texts_of(b.column(1)))
+            elements, bounds = shingle_sets(b.column(1))
             size = np.diff(bounds)
             prints = b"".join(xxhash.xxh3_128_digest(elements[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
             half = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2).T
@@ -150,19 +167,24 @@ def described(docs: DataFrame, percent: int = 85) -> DataFrame:
 CELLS = 1 << 23
 
 
-def only_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with an id in ``ids``.
+def with_hint(docs: DataFrame, ids: DataFrame, hint: str) -> DataFrame:
+    """``docs`` with a column that is true where the id may be in ``ids`` and false where it is not.
 
-    A bitmap of hashed ids, bounded and hence broadcast, keeps most other texts out of the
-    shuffle of the exact join; when ids outgrow it, it only filters less.
+    It comes from a bitmap of hashed ids, which is bounded and hence broadcast; when ids outgrow it, more of them may be.
     """
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)) + 1
+    cell = F.pmod(F.xxhash64(F.col("doc_id").cast(ids.schema["doc_id"].dataType)), F.lit(CELLS)) + 1
     row, bit = F.bitmap_bucket_number(cell), F.bitmap_bit_position(cell)
-    bitmap = ids.groupBy(row.alias("row_")).agg(F.bitmap_construct_agg(bit).alias("bits_"))
-    byte = F.conv(F.hex(F.substring("bits_", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = docs.withColumns({"row_": row, "bit_": bit}).join(F.broadcast(bitmap), "row_")
-    near = near.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("bit_") % 8).cast("int")) != 0)
-    return near.select(*docs.columns).join(ids, "doc_id")  # ids are distinct; a semi-join would be pushed below the bitmap
+    bitmap = ids.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("bits")).select(F.struct("row", "bits").alias(unused(docs, "map_")))
+    cells, at = F.col(bitmap.columns[0]), (bit / 8).cast("int") + 1
+    byte = F.conv(F.hex(F.substring(cells["bits"], at, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
+    return docs.join(F.broadcast(bitmap), cells["row"] == row, "left").select(*(docs[c] for c in docs.columns), may.alias(hint))
+
+
+def only_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with an id in ``ids``; a bitmap keeps most other texts out of the shuffle of the exact join."""
+    near = with_hint(docs, ids, hint := unused(docs, "near_")).where(hint).drop(hint)
+    return near.join(ids, "doc_id")  # ids are distinct; a semi-join would be pushed below the bitmap
 
 
 def bucketed(sets: DataFrame) -> DataFrame:
@@ -181,7 +203,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            elements, bounds = shingle_sets(texts_of(b.column(1)))
+            elements, bounds = shingle_sets(b.column(1))
             items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(elements.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), items], ["doc_id", "n", "items"])
 
@@ -193,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Smallest labels spread along edges and jump along labels until their sum stands still.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both = written(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     before = None
     while before != (now := labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]):
@@ -282,12 +304,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = links(buckets, sets, percent)
 
     # a document of several classes (rows that share its doc_id) joins them
-    member = known.join(classes.drop("bands", "n"), same).select("doc_id", "node").distinct()
-    torn = known.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).where("lo != hi").select("doc_id")
-    torn = written(member.join(torn, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "torn")
+    torn = written(known.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).where("lo != hi").select("doc_id"), "torn")
     if not torn.isEmpty():
-        found = torn if labels is None else torn.union(labels.select("node", "component"))
-        labels = components(found)
+        member = known.join(torn, "doc_id", "left_semi").join(classes.drop("bands", "n"), same).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+        labels = components(member if labels is None else member.union(labels.select("node", "component")))
     class_of = classes.select(*same, "node")
     if labels is not None:
         class_of = class_of.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("node"))
@@ -301,11 +321,14 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     A document is all rows of its id; of rows that repeat both id and text one stays.
     """
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_"))
-    left = docs.join(gone, docs.doc_id == gone.gone_, "left_anti")
-    key = [F.col("doc_id"), F.xxhash64("text")]
-    if docs.where("doc_id IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    found = written(near_duplicates(docs, percent).select("doc_id", "kept"), "found")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    hinted = with_hint(docs, gone, hint := unused(docs, "gone_"))  # texts that stay are not shuffled
+    doubtful, gone = hinted.where(hint).drop(hint), gone.withColumnRenamed("doc_id", hint)
+    left = hinted.where(~F.col(hint)).drop(hint).union(doubtful.join(gone, doubtful.doc_id == gone[hint], "left_anti"))
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return left
+    key = [F.col("doc_id"), F.xxhash64("text")]
     copy = unused(docs, "copy_")
     one = W.partitionBy(*key).orderBy(F.octet_length("text"))
     return left.withColumn(copy, F.row_number().over(one)).where((F.col(copy) == 1) | F.col("doc_id").isNull()).drop(copy)
